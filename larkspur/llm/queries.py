@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from larkspur.llm.decontaminate import op4_winnowing_decontamination
 from larkspur.llm.simhash import op2_simhash_near_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
+        "op4_winnowing_decontamination": op4_winnowing_decontamination,
     }
 
 
