@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.llm.decontaminate import op4_winnowing_decontamination
+from larkspur.llm.langid import op6_mixture_language_id
 from larkspur.llm.mixing import op5_hypergeometric_mixing
 from larkspur.llm.simhash import op2_simhash_near_dedup
 
@@ -16,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op4_winnowing_decontamination": op4_winnowing_decontamination,
         "op5_hypergeometric_mixing": op5_hypergeometric_mixing,
+        "op6_mixture_language_id": op6_mixture_language_id,
     }
 
 
