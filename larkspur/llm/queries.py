@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.llm.decontaminate import op4_winnowing_decontamination
 from larkspur.llm.langid import op6_mixture_language_id
+from larkspur.llm.linededup import op10_fuzzy_line_dedup
 from larkspur.llm.mixing import op5_hypergeometric_mixing
 from larkspur.llm.simhash import op2_simhash_near_dedup
 
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_winnowing_decontamination": op4_winnowing_decontamination,
         "op5_hypergeometric_mixing": op5_hypergeometric_mixing,
         "op6_mixture_language_id": op6_mixture_language_id,
+        "op10_fuzzy_line_dedup": op10_fuzzy_line_dedup,
     }
 
 
