@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.llm.decontaminate import op4_winnowing_decontamination
+from larkspur.llm.embeddings import op1_projection_forest_dedup
 from larkspur.llm.langid import op6_mixture_language_id
 from larkspur.llm.linededup import op10_fuzzy_line_dedup
 from larkspur.llm.mixing import op5_hypergeometric_mixing
@@ -15,6 +16,7 @@ from larkspur.llm.simhash import op2_simhash_near_dedup
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_projection_forest_dedup": op1_projection_forest_dedup,
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op4_winnowing_decontamination": op4_winnowing_decontamination,
         "op5_hypergeometric_mixing": op5_hypergeometric_mixing,
