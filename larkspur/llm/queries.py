@@ -11,6 +11,7 @@ from larkspur.llm.embeddings import op1_projection_forest_dedup
 from larkspur.llm.langid import op6_mixture_language_id
 from larkspur.llm.linededup import op10_fuzzy_line_dedup
 from larkspur.llm.mixing import op5_hypergeometric_mixing
+from larkspur.llm.quality import op3_nbsvm_quality
 from larkspur.llm.simhash import op2_simhash_near_dedup
 
 
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_projection_forest_dedup": op1_projection_forest_dedup,
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
+        "op3_nbsvm_quality": op3_nbsvm_quality,
         "op4_winnowing_decontamination": op4_winnowing_decontamination,
         "op5_hypergeometric_mixing": op5_hypergeometric_mixing,
         "op6_mixture_language_id": op6_mixture_language_id,
