@@ -12,6 +12,7 @@ from larkspur.llm.langid import op6_mixture_language_id
 from larkspur.llm.linededup import op10_fuzzy_line_dedup
 from larkspur.llm.mixing import op5_hypergeometric_mixing
 from larkspur.llm.quality import op3_nbsvm_quality
+from larkspur.llm.secrets import op7_markov_secret_scan
 from larkspur.llm.simhash import op2_simhash_near_dedup
 
 
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_winnowing_decontamination": op4_winnowing_decontamination,
         "op5_hypergeometric_mixing": op5_hypergeometric_mixing,
         "op6_mixture_language_id": op6_mixture_language_id,
+        "op7_markov_secret_scan": op7_markov_secret_scan,
         "op10_fuzzy_line_dedup": op10_fuzzy_line_dedup,
     }
 

@@ -25,3 +25,14 @@ def contamination(docs, items):
                     found |= x
         sha = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
         yield doc, len(w), len(hit), len(found), sha, bool(hit) and 20 * len(hit) >= len(w)
+
+
+def secrets(text):
+    """(n_assign, n_access, n_hex, written base spans) of op7."""
+    text = text or ""
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    found = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+    kinds = [k for _, k, _ in found]
+    return *(kinds.count(k) for k in range(3)), ",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in sorted(found))
