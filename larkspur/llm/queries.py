@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.llm.decontaminate import op4_winnowing_decontamination
 from larkspur.llm.embeddings import op1_projection_forest_dedup
+from larkspur.llm.htmltext import op8_wrapper_html_extraction
 from larkspur.llm.langid import op6_mixture_language_id
 from larkspur.llm.linededup import op10_fuzzy_line_dedup
 from larkspur.llm.mixing import op5_hypergeometric_mixing
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_hypergeometric_mixing": op5_hypergeometric_mixing,
         "op6_mixture_language_id": op6_mixture_language_id,
         "op7_markov_secret_scan": op7_markov_secret_scan,
+        "op8_wrapper_html_extraction": op8_wrapper_html_extraction,
         "op10_fuzzy_line_dedup": op10_fuzzy_line_dedup,
     }
 
