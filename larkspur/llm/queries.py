@@ -10,6 +10,7 @@ from larkspur.llm.decontaminate import op4_winnowing_decontamination
 from larkspur.llm.embeddings import op1_projection_forest_dedup
 from larkspur.llm.htmltext import op8_wrapper_html_extraction
 from larkspur.llm.langid import op6_mixture_language_id
+from larkspur.llm.licenses import op9_tfidf_license_scan
 from larkspur.llm.linededup import op10_fuzzy_line_dedup
 from larkspur.llm.mixing import op5_hypergeometric_mixing
 from larkspur.llm.quality import op3_nbsvm_quality
@@ -27,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_mixture_language_id": op6_mixture_language_id,
         "op7_markov_secret_scan": op7_markov_secret_scan,
         "op8_wrapper_html_extraction": op8_wrapper_html_extraction,
+        "op9_tfidf_license_scan": op9_tfidf_license_scan,
         "op10_fuzzy_line_dedup": op10_fuzzy_line_dedup,
     }
 
