@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import posixpath
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,16 +19,29 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    """Best effort: a session that has ended, or a folder that has gone, leaves nothing to do."""
+    with contextlib.suppress(Exception):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder, its lineage cut.
+    """df written as a table in the shared folder and read again, its lineage cut.
 
     The folder is the one the cluster names in spark.checkpoint.dir; only where none is set (tests, local runs)
-    a temporary one is used.
+    a temporary one is used. A written table is planned by its real size; a checkpoint inherits the size estimated for its
+    plan, a product that squares with every round of joins until planning stalls. Tables go when Python exits.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larkspur-"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="larkspur-")
+        spark.sparkContext.setCheckpointDir(base)
+    path = posixpath.join(base, f"table-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    atexit.register(_delete, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:

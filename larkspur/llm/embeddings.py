@@ -190,7 +190,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     rows = _class_keys(df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("embedding")))
     ids = durable(rows.select("id", "key"))
     classes = rows.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("embedding").alias("embedding"))
-    classes = durable(classes).withColumn("cid", F.monotonically_increasing_id())
+    classes = durable(classes.withColumn("cid", F.monotonically_increasing_id()))
     trees = df.sparkSession.sparkContext.broadcast(forest(classes, classes.count(), cosine))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
