@@ -444,14 +444,14 @@ class Parser:
         left = self.set_term()
         while op := self.take_any("UNION", "EXCEPT", "MINUS"):
             how = self.take_any("ALL", "DISTINCT") or "DISTINCT"
-            left = Node("set", op="EXCEPT" if op == "MINUS" else op, all=how == "ALL", a=left, b=self.set_term())
+            left = Node("setop", op="EXCEPT" if op == "MINUS" else op, all=how == "ALL", a=left, b=self.set_term())
         return left
 
     def set_term(self) -> Node:
         left = self.select_term()
         while self.take("INTERSECT"):
             how = self.take_any("ALL", "DISTINCT") or "DISTINCT"
-            left = Node("set", op="INTERSECT", all=how == "ALL", a=left, b=self.select_term())
+            left = Node("setop", op="INTERSECT", all=how == "ALL", a=left, b=self.select_term())
         return left
 
     def select_term(self) -> Node:

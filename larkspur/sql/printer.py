@@ -253,11 +253,11 @@ class SparkPrinter:
     def q_closed(self, q):
         return f"({self.query(q.query)})"
 
-    def q_set(self, q):
+    def q_setop(self, q):
         return f"{self.arm(q.a)} {q.op}{' ALL' * q.all} {self.arm(q.b)}"
 
     def arm(self, q) -> str:
-        return self.query(q) if q.kind in ("select", "closed", "set") else f"({self.query(q)})"
+        return self.query(q) if q.kind in ("select", "closed", "setop") else f"({self.query(q)})"
 
     def q_ordered(self, q):
         return f"{self.query(q.query)}{self.ending(q.order, q.limit)}"
