@@ -1,7 +1,8 @@
 """Near-duplicate embeddings by a forest of random-projection trees.
 
-Method. Each of `TREES` trees splits the unit vectors by random directions, again and again, at the middle of the
-projections; vectors within `SPILL` of the middle (as a share of all) go to both sides, so close vectors rarely part.
+Method. Each of `TREES` trees splits the unit vectors by random directions, again and again, near the middle of the
+projections (of `WAYS` directions, where fewest vectors lie near the cut); vectors within `SPILL` of the cut (as a share of
+all) go to both sides, so close vectors rarely part.
 Leaves of about `LEAF` vectors are compared whole, in double precision; pairs of the wanted cosine are links. A node whose
 vectors already lie closer together than the threshold, on average, is not split further, since a split would part linked
 vectors; leaves that hold more than `LEAF` vectors are compared block by block, each pair of blocks a task of its own. A pair
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import connected_components, durable, read_table, small_side
 
 COSINE = 0.9
-TREES, LEAF, SPILL = 4, 2048, 0.05
+TREES, LEAF, SPILL, WAYS = 4, 2048, 0.05, 8
 SAMPLE, SAMPLE_VALUES, SEED = 20_000, 2_000_000, 11
 #: Fewest sampled vectors that a split is decided on.
 LEAST = 32
@@ -83,9 +84,18 @@ def plant(sample: np.ndarray, count: float, rng: np.random.Generator, cosine: fl
             nodes.append((leaf,))
             leaf += 1
             continue
-        way = rng.standard_normal(x.shape[1])
+        # of some random directions and cuts near the middle, the one around which fewest vectors lie within a link's reach
+        best = None
+        for way in rng.standard_normal((WAYS, x.shape[1])):
+            p = np.sort(x @ way)
+            reach = np.sqrt(2 * (1 - cosine) / x.shape[1]) * np.linalg.norm(way)
+            for share in (0.3, 0.4, 0.5, 0.6, 0.7):
+                cut = p[int(share * len(p))]
+                near = np.searchsorted(p, cut + reach) - np.searchsorted(p, cut - reach)
+                if best is None or near < best[0]:
+                    best = near, way, *np.quantile(p, [share - SPILL, share + SPILL])
+        _, way, low, high = best
         p = x @ way
-        low, high = np.quantile(p, [0.5 - SPILL, 0.5 + SPILL])
         nodes.append([way, low, high, -1, -1])
         for i, some in enumerate((x[p <= high], x[p >= low])):
             todo.append((some, n * len(some) / len(x), me, i))
