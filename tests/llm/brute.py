@@ -36,3 +36,32 @@ def secrets(text):
     found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
     kinds = [k for _, k, _ in found]
     return *(kinds.count(k) for k in range(3)), ",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in sorted(found))
+
+
+def components(ids, linked):
+    """Smallest id reachable from each of ids, given linked(i, j) on places."""
+    root = list(range(len(ids)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i in range(len(ids)):
+        for j in range(i):
+            if linked(i, j):
+                root[find(i)] = find(j)
+    least = {}
+    for i in range(len(ids)):
+        least[find(i)] = min(least.get(find(i), ids[i]), ids[i])
+    return [least[find(i)] for i in range(len(ids))]
+
+
+def fingerprint(text, k=3):
+    import xxhash
+
+    w = [x for x in re.split(rb"[\x20\x09-\x0D]+", (text or "").encode().lower()) if x]
+    grams = [b" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))] if w else []
+    hs = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) if hs else 0
