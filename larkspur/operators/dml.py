@@ -22,7 +22,7 @@ def _last_of(new: DataFrame, key: Sequence[str], order: str | None, first: bool
     for c in key:
         whole = whole & F.col(c).isNotNull()
     w = Window.partitionBy(*key).orderBy(by.asc() if first else by.desc())
-    return new.withColumn("__n", F.row_number().over(w)).where((F.col("__n") == 1) | ~whole).drop("__n")
+    return new.withColumn("__rank", F.row_number().over(w)).where((F.col("__rank") == 1) | ~whole).drop("__rank")
 
 
 def insert(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -262,7 +262,8 @@ class Session:
         n = new.count()
         new, first, next_auto = self._numbered(t, new, n)
         self._check(t, new)
-        keys = [k.columns for k in t.keys if k.unique]
+        # rows are matched by the primary key before others
+        keys = [k.columns for k in sorted(t.keys, key=lambda k: k.kind != "PRIMARY") if k.unique]
         plain = new.drop("__n")
         if replace:
             rows = dml.replace(t.rows, new, keys, "__n")
@@ -271,6 +272,9 @@ class Session:
             p = _UpsertPrinter(_SessionNames(self), values_of=lambda c: f"n.{quote(t.column(c).name)}")
             sets = {t.column(c.parts["parts"][-1]).name: F.expr(p.expr(x)) for c, x in s.update}
             rows = dml.upsert(t.rows, new, key, sets, "__n")
+            for other in keys[1:]:
+                if not dml.duplicates(rows, rows.limit(0), other).isEmpty():
+                    raise SQLError(f"duplicate entry for key {', '.join(other)}")
         elif s.ignore:
             rows = dml.insert_ignore(t.rows, new, keys, "__n")
         else:

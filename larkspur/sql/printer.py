@@ -319,6 +319,11 @@ class DialectPrinter(SparkPrinter):
     def x_bind(self, x):
         return "::" + str(x.key) if x.many else "?" if isinstance(x.key, int) else f":{x.key}"
 
+    def x_in(self, x):
+        if x.items and x.items[0].kind == "bind" and x.items[0].many:
+            return f"({self.expr(x.x)} {'NOT ' * x.no}IN {self.expr(x.items[0])})"
+        return super().x_in(x)
+
     def x_number(self, x):
         return x.text
 
