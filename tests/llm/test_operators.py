@@ -232,6 +232,15 @@ def test_wrappers_of_hosts(spark):
     assert htmltext.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def extracted(spark, rows):
+    return {r.page_id: r.text for r in htmltext.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_template_text_inside_articles(spark):
+    rows = [(i, f"http://a.com/{i}", f"<article><h1>Title {i}</h1><p>Read all about it every day.</p><p>{i} own text</p><p>and more {i}</p></article>") for i in range(6)]
+    assert extracted(spark, rows) == {i: f"Title {i}\n{i} own text\nand more {i}" for i in range(6)}
+
+
 def test_licenses_and_inheritance(spark):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"
     rows = [(1, "a/LICENSE", mit), (2, "a/b/c/x.py", "x = 1"), (3, "z/y.py", "x = 1"), (4, None, None), (5, "a/b/d.c", "code " * 20 + "\nLicensed under the Apache License, Version 2.0.\nint main"), (6, "a/b/LICENSE", "All rights reserved."), (7, "a/e.py", ""), (7, "a/e.py", "")]
