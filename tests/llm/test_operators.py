@@ -241,6 +241,13 @@ def test_template_text_inside_articles(spark):
     assert extracted(spark, rows) == {i: f"Title {i}\n{i} own text\nand more {i}" for i in range(6)}
 
 
+def test_layouts_and_single_pages_keep_their_text(spark):
+    plain = lambda n: f"<div class=top>Site name</div><h1>Head {n}</h1><div class=x><p>{n} words</p></div>"
+    rows = [(i, "http://a.com/", f"<article><p>{i} text</p></article>") for i in range(4)] + [(i, "http://a.com/", plain(i)) for i in range(10, 13)] + [(20, "http://b.com/", plain(20))]
+    want = {i: f"{i} text" for i in range(4)} | {i: f"Head {i}\n{i} words" for i in range(10, 13)} | {20: "Site name\nHead 20\n20 words"}
+    assert extracted(spark, rows) == want
+
+
 def test_licenses_and_inheritance(spark):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"
     rows = [(1, "a/LICENSE", mit), (2, "a/b/c/x.py", "x = 1"), (3, "z/y.py", "x = 1"), (4, None, None), (5, "a/b/d.c", "code " * 20 + "\nLicensed under the Apache License, Version 2.0.\nint main"), (6, "a/b/LICENSE", "All rights reserved."), (7, "a/e.py", ""), (7, "a/e.py", "")]
