@@ -268,3 +268,11 @@ def test_line_dedup(spark):
     assert linededup.dedup_lines(documents(spark, rows).limit(0)).count() == 0
     pair = spark.createDataFrame([(line, near), (line, line[:30]), ("", ""), ("a" * 5000, "b" * 5000), ("x" + line * 40, line * 40)], "p string, q string")
     assert [r.s for r in pair.select(linededup._similar("p", "q").alias("s")).collect()] == [True, False, True, False, True]
+
+
+def test_edit_similarity_of_long_lines_is_exact(spark):
+    rng = random.Random(5)
+    text = "".join(rng.choices("abcdefghij ", k=1200))
+    moved = text[:300] + "a phrase put in here, of forty letters" + text[300:700] + "X" + text[701:]
+    pair = spark.createDataFrame([(text, moved), (text, "".join(rng.choices("klmnopqrst ", k=1200)))], "p string, q string")
+    assert [r.s for r in pair.select(linededup._similar("p", "q").alias("s")).collect()] == [True, False]
