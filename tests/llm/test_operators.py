@@ -276,3 +276,10 @@ def test_edit_similarity_of_long_lines_is_exact(spark):
     moved = text[:300] + "a phrase put in here, of forty letters" + text[300:700] + "X" + text[701:]
     pair = spark.createDataFrame([(text, moved), (text, "".join(rng.choices("klmnopqrst ", k=1200)))], "p string, q string")
     assert [r.s for r in pair.select(linededup._similar("p", "q").alias("s")).collect()] == [True, False]
+
+
+def test_lines_that_differ_in_white_space(spark):
+    line = "several words that are parted by something"
+    rows = [(1, line), (2, line + "\r\nother"), (3, line.replace(" ", "\t")), (4, line.replace(" ", "\u00a0"))]
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(documents(spark, rows)).collect()}
+    assert got == {1: line, 2: "other", 3: "", 4: ""}
