@@ -283,3 +283,9 @@ def test_lines_that_differ_in_white_space(spark):
     rows = [(1, line), (2, line + "\r\nother"), (3, line.replace(" ", "\t")), (4, line.replace(" ", "\u00a0"))]
     got = {r.doc_id: r.text for r in linededup.dedup_lines(documents(spark, rows)).collect()}
     assert got == {1: line, 2: "other", 3: "", 4: ""}
+
+
+def test_lines_without_blanks(spark):
+    line = "\u4eca\u5929\u5929\u6c14\u5f88\u597d\u6211\u4eec\u53bb\u516c\u56ed\u6563\u6b65"
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(documents(spark, [(1, line), (2, "x\n" + line)])).collect()}
+    assert got == {1: line, 2: "x"}
