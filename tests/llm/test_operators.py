@@ -289,3 +289,26 @@ def test_lines_without_blanks(spark):
     line = "\u4eca\u5929\u5929\u6c14\u5f88\u597d\u6211\u4eec\u53bb\u516c\u56ed\u6563\u6b65"
     got = {r.doc_id: r.text for r in linededup.dedup_lines(documents(spark, [(1, line), (2, "x\n" + line)])).collect()}
     assert got == {1: line, 2: "x"}
+
+
+def edit_distance(p, q):
+    row = list(range(len(q) + 1))
+    for i, a in enumerate(p, 1):
+        last, row[0] = row[0], i
+        for j, b in enumerate(q, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (a != b))
+    return row[-1]
+
+
+def test_lines_with_a_changed_word(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(3000)]
+    rows, close = [], 0
+    for i in range(300):
+        line = rng.choices(words, k=rng.choice((8, 12, 15, 20, 30)))
+        near = list(line)
+        near[rng.randrange(len(near))] = rng.choice(words)
+        rows += [(2 * i, " ".join(line)), (2 * i + 1, " ".join(near))]
+        close += edit_distance(rows[-2][1], rows[-1][1]) <= 0.2 * max(len(rows[-2][1]), len(rows[-1][1]))
+    gone = sum(r.n_lines_removed for r in linededup.dedup_lines(documents(spark, rows)).collect())
+    assert close > 200 and 0.9 * close <= gone <= close, (close, gone)
