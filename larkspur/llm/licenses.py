@@ -1,8 +1,9 @@
 """Licence scan: sparse TF-IDF cosine to licence templates, then inheritance from the nearest ancestor directory.
 
-Method. Every line of a text, each run of `RUN` lines and the whole text where it is short is a candidate; its words' TF-IDF
+Method. Every line of a text, each run of `RUNS` lines and the whole text where it is short is a candidate; its words' TF-IDF
 vector is compared with those of the templates (notices and opening passages of licences) by cosine. A licence is found where the
-best template reaches `COSINE`. A file of whose words four fifths lie in found passages is a licence file: it licenses its
+best template reaches `COSINE`. Texts of any length are also compared as a whole with whole licence texts (`FULL_TEXTS`). A file of whose words
+four fifths lie in found passages, or in the whole licence text that it matches and is at least half as long as, is a licence file: it licenses its
 directory. Files without a licence of their own take that of the nearest ancestor directory which has one.
 
 Scale. Inverse document frequencies of the template words are counted over all documents; the templates bound that table. Texts are
@@ -25,8 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import durable, read_table, small_side
+from larkspur.llm.license_texts import FULL_TEXTS
 
-COSINE, RUN, SHORT = 0.7, 8, 4000
+COSINE, RUNS, SHORT = 0.7, (2, 3, 4, 5, 6, 7, 8, 12, 16), 4000
 #: Public notices of licences.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -63,17 +65,20 @@ def words(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
-VOCABULARY = sorted({w for _, t in TEMPLATES for w in words(t)})
+NOTICES = [(name, Counter(words(t))) for name, t in TEMPLATES]
+FULL = [(name, Counter({w: int(n) for w, n in (x.rsplit(":", 1) for x in t.split(" "))})) for name, t in FULL_TEXTS]
+VOCABULARY = sorted({w for _, t in NOTICES for w in t})
+FULL_VOCABULARY = sorted({w for _, t in [*NOTICES, *FULL] for w in t})
 
 
 class Index:
     """Templates as unit TF-IDF vectors, posted by word."""
 
-    def __init__(self, idf: dict[str, float], rare: float) -> None:
-        self.idf, self.rare = idf, rare
+    def __init__(self, idf: dict[str, float], rare: float, templates: list[tuple[str, Counter]] = NOTICES) -> None:
+        self.idf, self.rare, self.templates = idf, rare, templates
         self.posts: dict[str, list[tuple[int, float]]] = {}
-        for k, (_, text) in enumerate(TEMPLATES):
-            for w, x in self._unit(Counter(words(text))).items():
+        for k, (_, count) in enumerate(templates):
+            for w, x in self._unit(count).items():
                 self.posts.setdefault(w, []).append((k, x))
 
     def _unit(self, count: Counter) -> dict[str, float]:
@@ -81,42 +86,61 @@ class Index:
         norm = math.sqrt(sum(x * x for x in v.values()))
         return {w: x / norm for w, x in v.items()}
 
-    def best(self, text: str) -> tuple[float, str, int]:
-        """(cosine, licence, words) of the closest template."""
-        count = Counter(words(text))
-        if not count:
-            return 0.0, "", 0
+    def best(self, count: Counter) -> tuple[float, str, int]:
+        """(cosine, licence, number) of the template closest to counted words."""
         sums: Counter = Counter()
-        for w, x in self._unit(count).items():
+        for w, x in self._unit(count).items() if count else ():
             for k, y in self.posts.get(w, ()):
                 sums[k] += x * y
-        found = [(-c, TEMPLATES[k][0]) for k, c in sums.items()]
-        return (-min(found)[0], min(found)[1], sum(count.values())) if found else (0.0, "", 0)
+        if not sums:
+            return 0.0, "", -1
+        minus, name, k = min((-c, self.templates[k][0], k) for k, c in sums.items())
+        return -minus, name, k
+
+
+class Scanner:
+    """Notices and whole licence texts, given the inverse document frequencies of their words."""
+
+    def __init__(self, idf: dict[str, float], rare: float) -> None:
+        self.notices, self.full = Index({w: idf[w] for w in VOCABULARY if w in idf}, rare), Index(idf, rare, FULL)
+
+    def whole(self, count: Counter, total: int) -> tuple[str, float] | None:
+        """(licence, cosine) if the words are those of a whole licence text."""
+        c, name, k = self.full.best(count)
+        if c < COSINE:
+            return None
+        text = self.full.templates[k][1]
+        held = sum(min(n, text[w]) for w, n in count.items())
+        return (name, c) if 5 * held >= 4 * total and 2 * total >= text.total() else None
 
     def scan(self, text: str | None) -> tuple[list[tuple[str, float]], bool]:
         """([(licence, cosine)] best first, whether the text is a licence file)."""
         if not text or not ANCHOR.search(text):
             return [], False
         lines = text.split("\n")
+        in_line = [words(x) for x in lines]
+        everything = Counter(w for x in in_line for w in x)
+        total = everything.total()
+        if file := self.whole(everything, total):
+            return [file], True
         found: dict[str, float] = {}
-        covered, total = [False] * len(lines), len(words(text))
-        spans = [(i, i + 1) for i, x in enumerate(lines) if ANCHOR.search(x)]
-        near = {j for i, _ in spans for j in range(max(0, i - RUN + 1), i + 1)}
-        spans += [(i, min(len(lines), i + RUN)) for i in sorted(near)]
+        covered = [False] * len(lines)
+        anchors = [i for i, x in enumerate(lines) if ANCHOR.search(x)]
+        spans = {(i, i + 1) for i in anchors} | {(j, min(len(lines), j + n)) for i in anchors for n in RUNS for j in range(max(0, i - n + 1), i + 1)}
         if len(text) <= SHORT:
-            spans.append((0, len(lines)))
+            spans.add((0, len(lines)))
         for i, j in spans:
-            c, name, _ = self.best("\n".join(lines[i:j]))
+            c, name, _ = self.notices.best(Counter(w for x in in_line[i:j] for w in x))
             if c >= COSINE:
                 found[name] = max(found.get(name, 0.0), c)
                 covered[i:j] = [True] * (j - i)
-        held = sum(len(words(x)) for x, yes in zip(lines, covered) if yes)
+        held = sum(len(x) for x, yes in zip(in_line, covered) if yes)
         return sorted(found.items(), key=lambda x: (-x[1], x[0])), bool(found) and 5 * held >= 4 * total
 
 
 def frequencies(docs: DataFrame, text_col: str = "text") -> tuple[dict[str, float], float]:
     """Inverse document frequency of each template word over all of docs, and of a word in none."""
-    vocabulary = set(VOCABULARY)
+    vocabulary = set(FULL_VOCABULARY)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -131,7 +155,7 @@ def frequencies(docs: DataFrame, text_col: str = "text") -> tuple[dict[str, floa
     got = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     seen = {r["word"]: r["n"] for r in got}
     n = seen.get("", 0)
-    return {w: math.log((n + 1) / (seen.get(w, 0) + 1)) + 1 for w in VOCABULARY}, math.log(n + 1) + 1
+    return {w: math.log((n + 1) / (seen.get(w, 0) + 1)) + 1 for w in FULL_VOCABULARY}, math.log(n + 1) + 1
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text") -> DataFrame:
@@ -140,7 +164,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_c
     cols = docs.select(F.col(id_col).alias("id"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(idf, rare)
+        index = Scanner(idf, rare)
         for b in batches:
             got = [index.scan(t.as_py()) for t in b.column(2)]
             own = pa.array([[{"name": n, "cosine": c} for n, c in f] for f, _ in got], pa.list_(pa.struct([("name", pa.string()), ("cosine", pa.float64())])))

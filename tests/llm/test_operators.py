@@ -312,3 +312,36 @@ def test_lines_with_a_changed_word(spark):
         close += edit_distance(rows[-2][1], rows[-1][1]) <= 0.2 * max(len(rows[-2][1]), len(rows[-1][1]))
     gone = sum(r.n_lines_removed for r in linededup.dedup_lines(documents(spark, rows)).collect())
     assert close > 200 and 0.9 * close <= gone <= close, (close, gone)
+
+
+MIT_FILE = """MIT License
+
+Copyright (c) 2020 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the 'Software'), to
+deal in the Software without restriction, including without limitation the
+rights to use, copy, modify, merge, publish, distribute, sublicense, and/or
+sell copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions: The above copyright
+notice and this permission notice shall be included in all copies or
+substantial portions of the Software. THE SOFTWARE IS PROVIDED 'AS IS',
+WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED
+TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
+NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE
+LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF
+CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+"""
+
+
+def test_whole_license_files(spark):
+    notice = "# Redistribution and use in source and\n# binary forms, with or without modification, are\n# permitted provided that the following conditions are met:"
+    code = "\n".join(f"value{i} = compute{i}(first{i}, second{i})" for i in range(40))
+    rows = [(1, "a/LICENSE", MIT_FILE), (2, "a/b/x.py", "x = 1"), (3, "c/y.py", f"{code}\n{notice}\n{code}")]
+    got = sorted((r.id, r.license, r.origin) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect())
+    assert got == [(1, "MIT", "file"), (2, "MIT", "inherited"), (3, "BSD", "header")]
+    idf = dict.fromkeys(licenses.FULL_VOCABULARY, 1.0)
+    for name, count in licenses.FULL:
+        found, is_file = licenses.Scanner(idf, 8.0).scan("\n".join(" ".join([w] * n) for w, n in count.items()))
+        assert (found[0][0], is_file) == (name, True)
