@@ -8,6 +8,10 @@ half, so every qualifying pair meets in some posting. For each pair that meets,
 tallied, pairs below the guaranteed minimum of 8 - d go, and the rest is verified by exact bit distance. A pair is
 taken only at the first posting where it meets, so it is emitted once.
 
+Texts can also be linked by Jaccard similarity of their shingles (`similar_pairs`, for the pipeline), which 3 bits of a
+fingerprint do not reach. Of a text's n shingles in order of their hashes the first n - ceil(similarity * n) + 1 are posted: two similar texts share
+at least one of these. Pairs that meet and are near enough in size are verified on their whole texts.
+
 Scale. Exact copies collapse to one fingerprint before anything is joined. Postings are shuffled on (triple, bytes);
 AQE splits skewed ones. Components are found by rounds of minima on the shared checkpoint folder.
 
@@ -18,7 +22,8 @@ Only the named id and text columns are read; other columns may have any name.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -27,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import connected_components, durable, read_table
+from larkspur.llm.common import connected_components, durable, read_table, small_side
 
 SEED = 42
 #: Triples of byte positions that are indexed.
@@ -92,11 +97,53 @@ def near_pairs(fps: DataFrame, max_distance: int = 3) -> DataFrame:
     return x.join(y, on).select(F.col("x.fp").alias("lo"), F.col("y.fp").alias("hi"))
 
 
-def _groups(rows: DataFrame, max_distance: int) -> DataFrame:
+def shingles(text: str | None, k: int) -> np.ndarray:
+    """Distinct hashes of runs of k words, ascending; all words are one run where there are fewer."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    runs = (b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1)))
+    return np.unique(np.array([xxhash.xxh64_intdigest(x, SEED) for x in runs], np.uint64).view(np.int64))
+
+
+def similar_pairs(docs: DataFrame, text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(lo, hi): hashes of distinct texts whose sets of k-word shingles have that Jaccard similarity or more, each pair once."""
+    texts = docs.select(F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t.as_py(), k) for t in b.column(1)]
+            sizes = np.array([len(x) for x in sets], np.int64)
+            heads = [x[: len(x) - math.ceil(similarity * len(x) - 1e-9) + 1] for x in sets]
+            each = np.array([len(x) for x in heads], np.int64)
+            columns = [pa.array(np.repeat(b.column(0).to_numpy(), each)), pa.array(np.repeat(sizes, each)), pa.array(np.concatenate([np.empty(0, np.int64), *heads]))]
+            yield pa.RecordBatch.from_arrays(columns, names=["th", "n", "shingle"])
+
+    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for p, q in zip(b.column(2), b.column(3)):
+                x, y = shingles(p.as_py(), k), shingles(q.as_py(), k)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    posted = texts.mapInArrow(post, "th long, n long, shingle long").repartition("shingle").distinct()
+    # only shingles that two texts post can pair any
+    posted = durable(posted.withColumn("texts", F.count("*").over(Window.partitionBy("shingle"))).where("texts > 1").drop("texts"))
+    x, y = posted.alias("x"), posted.alias("y")
+    near = F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9
+    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.th") < F.col("y.th")) & near)
+    met = durable(met.select(F.col("x.th").alias("lo"), F.col("y.th").alias("hi")).distinct())
+    wanted = durable(met.select(F.explode(F.array("lo", "hi")).alias("th")).distinct())
+    some = durable(texts.join(small_side(wanted, wanted.count()), "th").dropDuplicates(["th"]))
+    sides = met.join(some.select(F.col("th").alias("lo"), F.col("text").alias("p")), "lo").join(some.select(F.col("th").alias("hi"), F.col("text").alias("q")), "hi")
+    return sides.select("lo", "hi", "p", "q").mapInArrow(similar, "lo long, hi long")
+
+
+def _groups(rows: DataFrame, pairs: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(fp, component_id, keep): for each distinct fingerprint its group's smallest id and the (id, text hash) that stays."""
     order = F.struct(F.col("id").isNull().alias("last"), "id", "th")
     reps = durable(rows.groupBy("fp").agg(F.min(order).alias("keep")))
-    roots = connected_components(near_pairs(reps.select("fp"), max_distance), "lo", "hi")
+    roots = connected_components(pairs(reps.select("fp")), "lo", "hi")
     grouped = reps.join(roots, reps.fp == roots.node, "left").select("fp", "keep", F.coalesce("root", "fp").alias("root"))
     least = grouped.groupBy("root").agg(F.min("keep").alias("keep"))
     return durable(grouped.drop("keep").join(least, "root").select("fp", F.col("keep.id").alias("component_id"), "keep"))
@@ -105,16 +152,23 @@ def _groups(rows: DataFrame, max_distance: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, max_distance: int = 3) -> DataFrame:
     """One row per input row: the id, fp (long) and component_id, the smallest id reachable over links."""
     rows = durable(fingerprints(docs, id_col, text_col, k))
-    return rows.join(_groups(rows, max_distance), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return rows.join(_groups(rows, lambda fps: near_pairs(fps, max_distance)), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, max_distance: int = 3) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, max_distance: int = 3, similarity: float | None = None) -> DataFrame:
     """docs with one row of each group: one with the group's smallest id (null only where all are null).
 
+    Texts are linked by fingerprints, or by Jaccard similarity of k-word shingles where a similarity is given.
     Of rows that share that id the one with the least text hash stays. All columns stay as they are.
     """
-    rows = durable(fingerprints(docs, id_col, text_col, k))
-    kept = _groups(rows, max_distance).select("keep").distinct().select(F.col("keep.id").alias("__id"), F.col("keep.th").alias("__th"))
+    if similarity is None:
+        rows = durable(fingerprints(docs, id_col, text_col, k))
+        groups = _groups(rows, lambda fps: near_pairs(fps, max_distance))
+    else:
+        th = F.xxhash64(text_col)
+        rows = durable(docs.select(F.col(id_col).alias("id"), th.alias("th"), th.alias("fp")))
+        groups = _groups(rows, lambda _: similar_pairs(docs, text_col, k, similarity))
+    kept = groups.select("keep").distinct().select(F.col("keep.id").alias("__id"), F.col("keep.th").alias("__th"))
     th = F.xxhash64(text_col)
     some = docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (th == F.col("__th"))).drop("__id")
     w = Window.partitionBy(id_col, "__th").orderBy(F.lit(0))
