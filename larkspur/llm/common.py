@@ -5,14 +5,19 @@ from __future__ import annotations
 import atexit
 import contextlib
 import posixpath
+import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a narrow side (a few fixed-width columns, at most 64 bytes a row) may be broadcast.
 BROADCAST_ROWS = 200_000
+#: Setting by which a query's shuffle files are removed when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,22 +31,43 @@ def _delete(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Only a session in one process (tests, local runs) may do without: it gets a temporary one."""
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="larkspur-")
+        spark.sparkContext.setCheckpointDir(base)
+    return base
+
+
 def durable(df: DataFrame) -> DataFrame:
     """df written as a table in the shared folder and read again, its lineage cut.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where none is set (tests, local runs)
-    a temporary one is used. A written table is planned by its real size; a checkpoint inherits the size estimated for its
-    plan, a product that squares with every round of joins until planning stalls. Tables go when Python exits.
+    A written table is planned by its real size; a checkpoint inherits the size estimated for its plan, a product that
+    squares with every round of joins until planning stalls. The write's shuffle files go as soon as it has ended. Tables go
+    when they are discarded, or when Python exits.
     """
     spark = df.sparkSession
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="larkspur-")
-        spark.sparkContext.setCheckpointDir(base)
-    path = posixpath.join(base, f"table-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    path = posixpath.join(shared_folder(spark), f"table-{uuid.uuid4().hex}")
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _PATHS[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that durable() wrote and that nothing reads any more."""
+    for table in tables:
+        if path := _PATHS.pop(table, None):
+            _delete(table.sparkSession, path)
 
 
 def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -76,6 +102,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         ).where("hi != lo")
         e2 = durable(e2.groupBy("hi", "lo").agg(F.max("moved").alias("moved")))
         moved = e2.agg(F.max("moved")).first()[0]
-        e = e2.select("hi", "lo")
+        discard(e, parent)
+        e = e2
         if not moved:
             return e.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
