@@ -9,10 +9,11 @@ is one window: its whole hash is looked up at every place of a document.
 Scale. Documents are read once, without a shuffle of their texts. A bit map of fixed size (`MAP_BITS`), gathered by
 bitwise OR, holds the items' kept hashes; document hashes outside it never leave their task. Those inside it are joined
 with the items' hashes by a shuffle, of which AQE splits hot keys, so the benchmark may have any size. Words are compared
-by their 64-bit hashes.
+by 64-bit hashes that mix in eight bytes at a time.
 
 Edge cases. Null and empty texts have no words: n_words 0, not contaminated. An item without words has no window. Items
-with a null id hit words but are not listed. Repeated rows each get a row. Only the named columns are read.
+with a null id hit words but are not listed. Repeated rows each get a row. Texts and words may be of any length. Only the
+named columns are read; clean() keeps all, whatever their names. Ties (a word in several items' windows) count once as a hit and list every item.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[48:58] = _IS_WORD[97:123] = _IS_WORD[128:] = True
+#: Masks of the first 0 to 8 bytes.
+_LOW = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -46,7 +49,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, index of each row's first word, with one more at the end)."""
+    """(hash of each word, index of each row's first word, with one more at the end). Words are mixed in eight bytes at a time."""
     data = _FOLD[data]
     word = _IS_WORD[data]
     edge = np.zeros(len(data) + 1, bool)
@@ -55,13 +58,17 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     start = np.flatnonzero(word & (~before | edge[:-1]))
     if not len(start):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    at = np.flatnonzero(word)
-    first = np.searchsorted(at, start)
-    length = np.diff(np.append(first, len(at)))
-    place = np.arange(len(at)) - np.repeat(first, length)
-    power = np.cumprod(np.full(int(length.max()), 0x9E3779B97F4A7C15, np.uint64))
-    h = np.add.reduceat((data[at].astype(np.uint64) + np.uint64(1)) * power[place], first)
-    return _mix(h), np.searchsorted(start, offsets)
+    after = np.concatenate((word[1:], [False]))
+    left = np.flatnonzero(word & (~after | edge[1:])) + 1 - start
+    eight = np.ndarray(len(data), "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+    h = _mix(left.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    live, at = np.arange(len(start)), start
+    while len(live):
+        block = eight[at] & _LOW[np.minimum(left, 8)]
+        h[live] = _mix(_mix(h[live] ^ block) + np.uint64(0x9E3779B97F4A7C15))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    return h, np.searchsorted(start, offsets)
 
 
 def _slide(x: np.ndarray, n: int, pick: np.ufunc) -> np.ndarray:
@@ -145,7 +152,7 @@ def _scan(df: DataFrame, cols: str, lengths: list[int], known: dict[int, np.ndar
 def _item_prints(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text"))
     rows = _scan(items, "item string", list(range(1, WINDOW + 1)), None, True)
-    return durable(rows.select("item", F.explode("hits").alias("y")).select("item", "y.len", "y.hash", "y.ctx"))
+    return durable(rows.select("item", F.explode("hits").alias("y")).select("item", "y.len", "y.hash", "y.ctx").distinct())
 
 
 def _bit_maps(prints: DataFrame) -> dict[int, np.ndarray]:
@@ -163,7 +170,7 @@ def _bit_maps(prints: DataFrame) -> dict[int, np.ndarray]:
 def contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
-    """One row per row of docs: id, th (hash of the text), n_words, n_hit, items (sorted list of item ids as strings)."""
+    """One row per row of docs: id, th (hash of the text), n_words, n_hit, items (sorted list of item ids as strings), longest (words of the longest window hit, 0 if none)."""
     prints = _item_prints(benchmark, item_col, item_text_col)
     known = _bit_maps(prints)
     cols = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
@@ -182,15 +189,15 @@ def contamination(
         (~long | (F.substring("same", REACH + 1, GRAM) == "1" * GRAM)).alias("ok"), "len",
     )
     span = span.where("ok and hi - lo >= len")
-    hits = span.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"), F.sort_array(F.collect_set("item")).alias("items"))
+    hits = span.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"), F.sort_array(F.collect_set("item")).alias("items"), F.max("len").alias("longest"))
     n_hit = F.aggregate(
         "spans",
         F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n")),
         lambda a, s: F.struct(F.greatest(a["end"], s["hi"]).alias("end"), (a["n"] + F.greatest(F.lit(0), s["hi"] - F.greatest(a["end"], s["lo"]))).alias("n")),
     )["n"]
-    hits = hits.select("row", n_hit.alias("n_hit"), "items")
+    hits = hits.select("row", n_hit.alias("n_hit"), "items", "longest")
     none = F.array().cast("array<string>")
-    return rows.drop("hits").join(hits, "row", "left").select("id", "th", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", none).alias("items"))
+    return rows.drop("hits").join(hits, "row", "left").select("id", "th", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("longest", F.lit(0)).alias("longest"))
 
 
 def _contaminated() -> F.Column:
@@ -198,10 +205,11 @@ def _contaminated() -> F.Column:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the contaminated ones: those of which a 20th of the words, or more, lies in benchmark windows."""
-    bad = durable(contamination(docs, benchmark, id_col, text_col).where(_contaminated()).select(F.col("id").alias("__id"), F.col("th").alias("__th")).distinct())
-    on = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__th"))
-    return docs.join(small_side(bad, bad.count()), on, "left_anti")
+    """docs without those that hold a whole window of `WINDOW` words of an item, or of which a 20th of the words, or more, lies in windows of shorter items."""
+    bad = _contaminated() | (F.col("longest") >= WINDOW)
+    bad = durable(contamination(docs, benchmark, id_col, text_col).where(bad).select("id", "th").distinct())
+    packed = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("own"), F.xxhash64(text_col).alias("own_th"))
+    return packed.join(small_side(bad, bad.count()), F.col("own").eqNullSafe(bad.id) & (F.col("own_th") == bad.th), "left_anti").select("doc.*")
 
 
 def op4_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
