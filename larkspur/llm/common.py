@@ -70,6 +70,24 @@ def discard(*tables: DataFrame) -> None:
             _delete(table.sparkSession, path)
 
 
+#: log2 of the most bits in a map of marks: 16 MB.
+MAP_BITS = 27
+
+
+def maybe_marked(x: DataFrame, column: str, marks: DataFrame, mark: str) -> DataFrame:
+    """The rows of x whose hash (a long) is among the marks, and some others: a cheap filter before x is shuffled to be joined.
+
+    The marks' top bits are set in a bit map of 16 bits for each mark, 2 ** MAP_BITS at most. Past that it lets more rows
+    through, and the join still decides.
+    """
+    log = min(MAP_BITS, max(10, (16 * marks.count()).bit_length()))
+    word, bit = f"cast(shiftrightunsigned({{}}, {70 - log}) AS int)", f"shiftleft(1L, cast(shiftrightunsigned({{}}, {64 - log}) & 63 AS int))"
+    every = x.sparkSession.range(1 << (log - 6)).selectExpr("cast(id AS int) AS word", "0L AS bit")
+    table = durable(marks.selectExpr(f"{word.format(mark)} AS word", f"{bit.format(mark)} AS bit").union(every).groupBy("word").agg(F.bit_or("bit").alias("bits")))
+    bits = table.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("map")).scalar()
+    return x.where(F.get(bits, F.expr(word.format(column))).bitwiseAND(F.expr(bit.format(column))) != 0)
+
+
 def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df hinted for broadcast if its counted rows stay within the limit; unhinted (a shuffled join) beyond it."""
     return F.broadcast(df) if rows <= limit else df

@@ -9,8 +9,10 @@ tallied, pairs below the guaranteed minimum of 8 - d go, and the rest is verifie
 taken only at the first posting where it meets, so it is emitted once.
 
 Texts can also be linked by Jaccard similarity of their shingles (`similar_pairs`, for the pipeline), which 3 bits of a
-fingerprint do not reach. Of a text's n shingles in order of their hashes the first n - ceil(similarity * n) + 1 are posted: two similar texts share
-at least one of these. Pairs that meet and are near enough in size are verified on their whole texts.
+fingerprint do not reach. The fingerprint then has 512 bits, of the distinct shingles' hashes, and is posted under `POSTS` triples of its 64 positional
+bytes. Pairs that meet are tallied: `LEAST_BYTES` shared bytes, `WIDE_BITS` differing bits at most and sizes within the similarity retain a pair,
+and its whole texts are compared. A pair of similarity 0.8 meets and is retained with a probability of 0.93, one of 0.85 with 0.99 (computed from the
+angle between shingle sets); groups of more than two meet in more ways. Pairs are tried so that groups get connected, not all with all.
 
 Scale. Exact copies collapse to one fingerprint before anything is joined. Postings are shuffled on (triple, bytes);
 AQE splits skewed ones. Components are found by rounds of minima on the shared checkpoint folder.
@@ -22,22 +24,31 @@ Only the named id and text columns are read; other columns may have any name.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import connected_components, durable, read_table, small_side
+from larkspur.llm.common import connected_components, durable, maybe_marked, read_table
 
 SEED = 42
 #: Triples of byte positions that are indexed.
 TRIPLES = [t for half in (range(0, 4), range(4, 8)) for t in combinations(half, 3)]
 
+#: Longs of a wide fingerprint, and the triples of positional bytes that it is posted under; the first long is left out of these.
+LANES, POSTS = 8, 160
+FP_COLS = [f"f{i}" for i in range(LANES)]
+WIDE_TRIPLES = [tuple(sorted(np.random.default_rng([7, n]).choice(np.arange(8, 8 * LANES), 3, replace=False).tolist())) for n in range(POSTS)]
+#: Of texts whose shingles have a Jaccard similarity of 0.8, 512 bits differ in 78 (deviation 8), 64 in 10 (3), and 17 (4) bytes of 64 agree.
+WIDE_BITS, TAG_BITS, LEAST_BYTES = 96, 19, 8
+#: Rounds in which each group of similar texts tries one pair.
+ROUNDS = 2
+_BIT_OF = (np.arange(256)[:, None] >> np.arange(8)) & 1
+
 
 def simhash64(text: str | None, k: int = 3) -> int:
     """Unsigned 64-bit fingerprint of a whole text."""
@@ -98,26 +109,91 @@ def near_pairs(fps: DataFrame, max_distance: int = 3) -> DataFrame:
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
-    """Distinct hashes of runs of k words, ascending; all words are one run where there are fewer."""
+    """Distinct hashes of runs of k words, ascending; all words are one run where there are fewer, and none where there is no word."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    runs = (b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1)))
-    return np.unique(np.array([xxhash.xxh64_intdigest(x, SEED) for x in runs], np.uint64).view(np.int64))
-
-
-def similar_pairs(docs: DataFrame, text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(lo, hi): hashes of distinct texts whose sets of k-word shingles have that Jaccard similarity or more, each pair once."""
-    texts = docs.select(F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    end = np.cumsum(size + 1) - 1
+    digest = xxhash.xxh64_intdigest
+    starts, ends = (end - size).tolist(), end[min(k, len(words)) - 1 :].tolist()
+    return np.unique(np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends)], np.uint64))
+
+
+def wide_simhash(shingles: np.ndarray) -> np.ndarray:
+    """`LANES` longs: bit k of a lane is 1 if over half of the shingles have it in their hash for that lane."""
+    if not len(shingles):
+        return np.zeros(LANES, np.int64)
+    counts = np.zeros(LANES * 8 * 256, np.int64)
+    place = np.arange(LANES * 8, dtype=np.int64) * 256
+    for at in range(0, len(shingles), 1 << 12):
+        h = np.empty((len(shingles[at : at + (1 << 12)]), LANES), np.uint64)
+        x = shingles[at : at + (1 << 12)]
+        for lane in range(LANES):
+            h[:, lane] = x
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(0x9E3779B97F4A7C15)
+            x = x ^ (x >> np.uint64(32))
+        # bytes by position, counted by value, then by bit
+        counts += np.bincount((h.view(np.uint8).reshape(len(h), -1) + place).ravel(), minlength=len(counts))
+    ones = counts.reshape(-1, 256) @ _BIT_OF
+    return np.packbits(2 * ones > len(shingles), axis=1, bitorder="little").ravel().view(np.int64)
+
+
+def wide_fingerprints(texts: DataFrame, k: int) -> DataFrame:
+    """(th, n, f0, f1...) of (th, text) rows: number of distinct shingles and wide SimHash."""
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t.as_py(), k) for t in b.column(1)]
-            sizes = np.array([len(x) for x in sets], np.int64)
-            heads = [x[: len(x) - math.ceil(similarity * len(x) - 1e-9) + 1] for x in sets]
-            each = np.array([len(x) for x in heads], np.int64)
-            columns = [pa.array(np.repeat(b.column(0).to_numpy(), each)), pa.array(np.repeat(sizes, each)), pa.array(np.concatenate([np.empty(0, np.int64), *heads]))]
-            yield pa.RecordBatch.from_arrays(columns, names=["th", "n", "shingle"])
+            wide = np.array([wide_simhash(x) for x in sets], np.int64).reshape(-1, LANES)
+            sizes = pa.array([len(x) for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), sizes, *(pa.array(np.ascontiguousarray(w)) for w in wide.T)], names=["th", "n", *FP_COLS])
+
+    return texts.mapInArrow(run, f"th long, n long, {', '.join(f'{c} long' for c in FP_COLS)}")
+
+
+def wide_posts(fps: DataFrame) -> DataFrame:
+    """(key, th, tag, before, dense): postings under triples of positional bytes that another text has too.
+
+    before is the posting before it in its key, dense whether its key has more than two. The tag, the lane that no triple takes a byte of, tells most
+    chance meetings.
+    """
+    triples = np.array(WIDE_TRIPLES).T
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 256):
+                b = whole.slice(at, 256)
+                bytes_ = np.stack([c.to_numpy() for c in b.columns[1:]], 1).view(np.uint8).astype(np.int64)
+                keys = np.arange(POSTS) << 24 | bytes_[:, triples[0]] << 16 | bytes_[:, triples[1]] << 8 | bytes_[:, triples[2]]
+                th, tag = (np.repeat(b.column(i).to_numpy(), POSTS) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(th), pa.array(tag)], names=["key", "th", "tag"])
 
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    x = fps.select("th", *FP_COLS).mapInArrow(run, "key long, th long, tag long")
+    w = Window.partitionBy("key").orderBy("th")
+    before, after = F.lag(F.struct("th", "tag"), 1).over(w), F.lead("th", 1).over(w).isNotNull()
+    dense = F.lag("th", 2).over(w).isNotNull() | F.lead("th", 2).over(w).isNotNull() | (before.isNotNull() & after)
+    return x.select("key", "th", "tag", before.alias("before"), dense.alias("dense")).where("before is not null or dense")
+
+
+def _near_tags(p: str, q: str) -> Column:
+    return F.bit_count(F.col(p).bitwiseXOR(F.col(q))) <= TAG_BITS
+
+
+def _counted(pairs: DataFrame, fps: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (lo, hi) near enough in size that share `LEAST_BYTES` positional bytes and differ in `WIDE_BITS` bits at most."""
+    lo, hi = fps.select(F.col("th").alias("lo"), F.struct("n", *FP_COLS).alias("x")), fps.select(F.col("th").alias("hi"), F.struct("n", *FP_COLS).alias("y"))
+    diff = [F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")) for c in FP_COLS]
+    shared = sum((d.bitwiseAND(F.lit(_mask((p,))).cast("long")) == 0).cast("int") for d in diff for p in range(8))
+    size = F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9
+    return pairs.join(lo, "lo").join(hi, "hi").where(size & (sum(map(F.bit_count, diff)) <= WIDE_BITS) & (shared >= LEAST_BYTES)).select("lo", "hi")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """The pairs (lo, hi) whose texts' shingles have the Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
             for p, q in zip(b.column(2), b.column(3)):
@@ -126,17 +202,61 @@ def similar_pairs(docs: DataFrame, text_col: str = "text", k: int = 5, similarit
                 keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    posted = texts.mapInArrow(post, "th long, n long, shingle long").repartition("shingle").distinct()
-    # only shingles that two texts post can pair any
-    posted = durable(posted.withColumn("texts", F.count("*").over(Window.partitionBy("shingle"))).where("texts > 1").drop("texts"))
-    x, y = posted.alias("x"), posted.alias("y")
-    near = F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9
-    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.th") < F.col("y.th")) & near)
-    met = durable(met.select(F.col("x.th").alias("lo"), F.col("y.th").alias("hi")).distinct())
-    wanted = durable(met.select(F.explode(F.array("lo", "hi")).alias("th")).distinct())
-    some = durable(texts.join(small_side(wanted, wanted.count()), "th").dropDuplicates(["th"]))
-    sides = met.join(some.select(F.col("th").alias("lo"), F.col("text").alias("p")), "lo").join(some.select(F.col("th").alias("hi"), F.col("text").alias("q")), "hi")
-    return sides.select("lo", "hi", "p", "q").mapInArrow(similar, "lo long, hi long")
+    sides = pairs.join(texts.toDF("lo", "p"), "lo").join(texts.toDF("hi", "q"), "hi")
+    return durable(sides.select("lo", "hi", "p", "q").mapInArrow(run, "lo long, hi long"))
+
+
+def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """(lo, hi, root_lo, root_hi): the pairs that links do not connect."""
+    root = connected_components(links, "lo", "hi")
+    for end in ("lo", "hi"):
+        pairs = pairs.join(root.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+    return pairs.where("root_lo <> root_hi")
+
+
+def _settled(near: DataFrame, links: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """links and as many verified pairs of near as connect all that verified pairs of near connect.
+
+    `ROUNDS` times each group tries one pair, with the smallest of the groups it is near to; at last all pairs that are still apart are tried. So a large group of near
+    copies is connected without its texts meeting in all their pairs.
+    """
+    tried = None
+    for last in [False] * ROUNDS + [True]:
+        some = _apart(near, links)
+        if tried is not None:
+            some = some.join(tried, ["lo", "hi"], "left_anti")
+        if not last:
+            ends = some.select("lo", "hi", F.greatest("root_lo", "root_hi").alias("own"), F.least("root_lo", "root_hi").alias("other"))
+            some = ends.groupBy("own").agg(F.min(F.struct("other", "lo", "hi")).alias("best")).select("best.lo", "best.hi")
+        some = durable(some.select("lo", "hi"))
+        more = _verified(some, texts, k, similarity)
+        tried = some if tried is None else durable(tried.union(some))
+        links = durable(links.union(more))
+    return links
+
+
+def similar_pairs(docs: DataFrame, text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(lo, hi): pairs of hashes of distinct texts, each of that Jaccard similarity or more; their components are those of all pairs found."""
+    texts = docs.select(F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    fps = durable(wide_fingerprints(texts, k).dropDuplicates(["th"]))
+    posted = durable(wide_posts(fps))
+    met = posted.where("before is not null").select(F.col("before.th").alias("lo"), F.col("th").alias("hi"), F.col("before.tag").alias("p"), F.col("tag").alias("q"))
+    near = durable(_counted(met.where(_near_tags("p", "q")).select("lo", "hi").distinct(), fps, similarity))
+    # texts that one more round may want are those of dense keys; few others are
+    wanted = near.select(F.explode(F.array("lo", "hi")).alias("th")).distinct()
+    read = lambda wanted: durable(maybe_marked(texts, "th", wanted, "th").join(wanted, "th", "left_semi").dropDuplicates(["th"]))
+    some = read(durable(wanted))
+    links = _settled(near, docs.sparkSession.createDataFrame([], "lo long, hi long"), some, k, similarity)
+    root = connected_components(links, "lo", "hi")
+    x = posted.where("dense").select("key", "th", "tag").join(root, F.col("th") == F.col("node"), "left").select("key", "th", "tag", F.coalesce("root", "th").alias("root"))
+    p, q = x.alias("p"), x.alias("q")
+    on = (F.col("p.key") == F.col("q.key")) & (F.col("p.th") < F.col("q.th")) & (F.col("p.root") != F.col("q.root")) & _near_tags("p.tag", "q.tag")
+    met = p.join(q, on).select(F.col("p.th").alias("lo"), F.col("q.th").alias("hi")).distinct()
+    rest = durable(_counted(met, fps, similarity).join(near, ["lo", "hi"], "left_anti"))
+    if rest.isEmpty():
+        return links
+    some = read(durable(rest.select(F.explode(F.array("lo", "hi")).alias("th")).distinct()))
+    return _settled(rest, links, some, k, similarity)
 
 
 def _groups(rows: DataFrame, pairs: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -168,11 +288,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
         th = F.xxhash64(text_col)
         rows = durable(docs.select(F.col(id_col).alias("id"), th.alias("th"), th.alias("fp")))
         groups = _groups(rows, lambda _: similar_pairs(docs, text_col, k, similarity))
-    kept = groups.select("keep").distinct().select(F.col("keep.id").alias("__id"), F.col("keep.th").alias("__th"))
-    th = F.xxhash64(text_col)
-    some = docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (th == F.col("__th"))).drop("__id")
-    w = Window.partitionBy(id_col, "__th").orderBy(F.lit(0))
-    return some.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__th")
+    kept = groups.select("keep").distinct().select(F.col("keep.id").alias("id"), F.col("keep.th").alias("th"))
+    packed = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("own"), F.xxhash64(text_col).alias("own_th"))
+    some = packed.join(kept, F.col("own").eqNullSafe(kept.id) & (F.col("own_th") == kept.th), "left_semi")
+    w = Window.partitionBy("own", "own_th").orderBy(F.lit(0))
+    return some.withColumn("n", F.row_number().over(w)).where("n = 1").select("doc.*")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

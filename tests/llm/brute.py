@@ -6,6 +6,17 @@ import re
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
+def words(text):
+    """Words of op4."""
+    return WORD.findall((text or "").encode().lower())
+
+
+def shingles(text, k=5):
+    """Runs of k words, all words where there are fewer."""
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+
+
 def contamination(docs, items):
     """docs, items: (id, text) pairs -> rows of op4."""
     windows = {}
