@@ -70,6 +70,19 @@ def discard(*tables: DataFrame) -> None:
             _delete(table.sparkSession, path)
 
 
+#: Rows that a Python worker is sent at a time, at most.
+BATCH_ROWS = 256
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """df, its session set to send Python workers few rows at a time: texts may be long, and workers keep the memory of their largest batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        df.sparkSession.conf.set(name, BATCH_ROWS)
+    return df
+
+
 #: log2 of the most bits in a map of marks: 16 MB.
 MAP_BITS = 27
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import durable, read_table, small_side
+from larkspur.llm.common import durable, in_batches, read_table, small_side
 from larkspur.llm.textbuf import pieces
 
 WINDOW, GRAM = 13, 5
@@ -146,7 +146,7 @@ def _scan(df: DataFrame, cols: str, lengths: list[int], known: dict[int, np.ndar
             out = [*b.columns[:-1], pa.array(counts, pa.int64()), pa.array(found, _HIT_TYPE)]
             yield pa.RecordBatch.from_arrays(out, names=[*b.schema.names[:-1], "n_words", "hits"])
 
-    return df.mapInArrow(run, f"{cols}, n_words long, hits {HITS}")
+    return in_batches(df).mapInArrow(run, f"{cols}, n_words long, hits {HITS}")
 
 
 def _item_prints(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:

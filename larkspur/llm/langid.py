@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import read_table
+from larkspur.llm.common import in_batches, read_table
 
 BINS = 1 << 16
 #: Rows of each language that a fit aims at; remainder of crc32(id) mod 3 that is held out.
@@ -135,7 +135,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["lang", "bin", "n"])
 
-    seen = some.mapInArrow(count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
+    seen = in_batches(some).mapInArrow(count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
     seen = seen.groupBy("lang").agg(F.collect_list("bin").alias("bins"), F.collect_list("n").alias("ns"))
     table = np.full((BINS, len(langs)), 0.2)
     for r in seen.collect():
@@ -162,7 +162,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     langs_type = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())]))
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("langs", langs_type)])
-    return docs.mapInArrow(run, schema)
+    return in_batches(docs).mapInArrow(run, schema)
 
 
 def op6_mixture_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import connected_components, durable, maybe_marked, read_table
+from larkspur.llm.common import connected_components, durable, in_batches, maybe_marked, read_table
 
 SEED = 42
 #: Triples of byte positions that are indexed.
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([simhash64(t.as_py(), k) for t in b.column(2)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], names=["id", "th", "fp"])
 
-    return cols.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, th long, fp long")
+    return in_batches(cols).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, th long, fp long")
 
 
 def _mask(triple: tuple[int, ...]) -> int:
@@ -150,7 +150,7 @@ def wide_fingerprints(texts: DataFrame, k: int) -> DataFrame:
             sizes = pa.array([len(x) for x in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), sizes, *(pa.array(np.ascontiguousarray(w)) for w in wide.T)], names=["th", "n", *FP_COLS])
 
-    return texts.mapInArrow(run, f"th long, n long, {', '.join(f'{c} long' for c in FP_COLS)}")
+    return in_batches(texts).mapInArrow(run, f"th long, n long, {', '.join(f'{c} long' for c in FP_COLS)}")
 
 
 def wide_posts(fps: DataFrame) -> DataFrame:
@@ -203,7 +203,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) ->
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     sides = pairs.join(texts.toDF("lo", "p"), "lo").join(texts.toDF("hi", "q"), "hi")
-    return durable(sides.select("lo", "hi", "p", "q").mapInArrow(run, "lo long, hi long"))
+    return durable(in_batches(sides.select("lo", "hi", "p", "q")).mapInArrow(run, "lo long, hi long"))
 
 
 def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
