@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import copy
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 
@@ -59,6 +59,11 @@ class Table:
     def primary(self) -> Key | None:
         return next((k for k in self.keys if k.kind == "PRIMARY"), None)
 
+    def copied(self) -> Table:
+        """A record of its own, whose columns, keys, checks and options can be changed without touching this one's."""
+        keys = [replace(k, columns=list(k.columns)) for k in self.keys]
+        return replace(self, columns=[copy.copy(c) for c in self.columns], keys=keys, checks=list(self.checks), options=dict(self.options))
+
     def covers(self, key: Key, columns: list[str]) -> bool:
         """Whether an index holds all of the columns (with the primary key, which every index carries)."""
         held = {c.lower() for c in key.columns} | {c.lower() for c in (self.primary.columns if self.primary else [])}
@@ -71,7 +76,7 @@ class Catalog:
 
     def snapshot(self) -> dict[str, dict[str, Table]]:
         """Tables as they are; rows are immutable, so only the records of them are copied."""
-        return {db: {n: copy.copy(t) for n, t in tables.items()} for db, tables in self.databases.items()}
+        return {db: {n: t.copied() for n, t in tables.items()} for db, tables in self.databases.items()}
 
     def names(self) -> list[str]:
         return sorted({*SYSTEM_DATABASES, *self.databases})

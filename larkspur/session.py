@@ -76,7 +76,7 @@ class Session:
 
     def register(self, name: str, rows: DataFrame, db: str | None = None, primary: Sequence[str] = ()) -> Table:
         """A DataFrame as a table of the catalog."""
-        columns = [Column(f.name, shown(f.dataType.simpleString()), f.dataType.simpleString(), f.nullable) for f in rows.schema.fields]
+        columns = [Column(f.name, shown(f.dataType.simpleString()), f.dataType.simpleString(), f.nullable and f.name not in primary) for f in rows.schema.fields]
         t = Table(name, columns, rows, [Key("PRIMARY", list(primary), "PRIMARY")] if primary else [])
         self.catalog.database(db or self.database)[name] = t
         return t
@@ -443,10 +443,8 @@ class Session:
         return Result()
 
     def _create_like(self, s: Node) -> Result:
-        import copy
-
         _, t = self._find(s.like)
-        new = copy.copy(t)
+        new = t.copied()
         new.name, new.rows, new.next_auto = s.table.name, t.rows.limit(0), 1
         self.catalog.database(s.table.db or self.database)[s.table.name] = new
         return Result()

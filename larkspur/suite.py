@@ -290,14 +290,23 @@ script("txn_rollback", f"SELECT {N} FROM nation", "BEGIN", "DELETE FROM t", "ROL
 script("txn_savepoint", f"SELECT {N} FROM nation WHERE n_nationkey <> 5", "BEGIN", "DELETE FROM t WHERE n_nationkey = 5", "SAVEPOINT a", "TRUNCATE TABLE t", "ROLLBACK TO a", "COMMIT", ALL)
 script("ddl_create_insert", "SELECT 1 AS id, 'a' AS name, 18 AS age UNION ALL SELECT 2, 'b', 30", "CREATE TABLE u (id INT AUTO_INCREMENT PRIMARY KEY, name VARCHAR(50) NOT NULL, age INT DEFAULT 18)", "INSERT INTO u (name) VALUES ('a')", "INSERT INTO u (name, age) VALUES ('b', 30)", "SELECT * FROM u")
 script("ddl_alter", "SELECT n_nationkey AS k, n_name, 5 AS extra FROM nation", "ALTER TABLE t ADD COLUMN extra INT DEFAULT 5, DROP COLUMN n_regionkey, RENAME COLUMN n_nationkey TO k", "SELECT * FROM t")
+INSERTED = f"SELECT {N} FROM nation UNION ALL SELECT 40, 'ins', 1"
+script("ddl_like", INSERTED, "CREATE TABLE u LIKE t", "ALTER TABLE u ADD COLUMN c INT", "INSERT INTO t VALUES (40, 'ins', 1)", ALL)
+script("ddl_rollback", INSERTED, "BEGIN", "ALTER TABLE t ADD COLUMN c INT", "ROLLBACK", "INSERT INTO t VALUES (40, 'ins', 1)", ALL)
+script("ddl_rename", f"SELECT {N} FROM nation", "RENAME TABLE t TO u", f"SELECT {N} FROM u")
+script("ddl_view", "SELECT n_regionkey, COUNT(*) AS n FROM nation GROUP BY n_regionkey HAVING COUNT(*) > 1", "CREATE VIEW v AS SELECT n_regionkey, COUNT(*) AS n FROM t GROUP BY n_regionkey", "SELECT * FROM v WHERE n > 1")
+script("ddl_index", "SELECT unnest(['PRIMARY', 'by_name']) AS INDEX_NAME, unnest(['n_nationkey', 'n_name']) AS COLUMN_NAME", "CREATE INDEX by_name ON t (n_name)", "SELECT INDEX_NAME, COLUMN_NAME FROM information_schema.STATISTICS")
 script("show_variables", "SELECT 'autocommit' AS Variable_name, 'ON' AS Value", "SHOW VARIABLES LIKE 'autocommit'")
 script("show_databases", "SELECT unnest(['default', 'information_schema', 'mysql', 'performance_schema', 'sys']) AS \"Database\"", "SHOW DATABASES")
-script("show_columns", None, "SHOW COLUMNS FROM t")
-script("show_create_table", None, "SHOW CREATE TABLE t")
-script("show_index", None, "SHOW INDEX FROM t")
+COLUMNS_OF_T = """SELECT * FROM (VALUES ('n_nationkey', 'int', 'NO', 'PRI', CAST(NULL AS VARCHAR), ''), ('n_name', 'text', 'YES', '', NULL, ''), ('n_regionkey', 'int', 'YES', '', NULL, '')) AS v("Field", "Type", "Null", "Key", "Default", "Extra")"""
+script("show_columns", COLUMNS_OF_T, "SHOW COLUMNS FROM t")
+script("show_describe", COLUMNS_OF_T, "DESC t")
+script("show_create_table", """SELECT 't' AS "Table", E'CREATE TABLE `t` (\\n  `n_nationkey` int NOT NULL,\\n  `n_name` text,\\n  `n_regionkey` int,\\n  PRIMARY KEY (`n_nationkey`)\\n) ENGINE=InnoDB DEFAULT CHARSET=utf8mb4' AS "Create Table\"""", "SHOW CREATE TABLE t")
+script("show_index", """SELECT 't' AS "Table", '0' AS Non_unique, 'PRIMARY' AS Key_name, '1' AS Seq_in_index, 'n_nationkey' AS Column_name, 'A' AS "Collation", CAST(NULL AS VARCHAR) AS Cardinality, CAST(NULL AS VARCHAR) AS Sub_part,
+       CAST(NULL AS VARCHAR) AS Packed, '' AS "Null", 'BTREE' AS Index_type, '' AS "Comment", '' AS Index_comment""", "SHOW INDEX FROM t")
 script("show_status", "SELECT unnest(['Com_insert', 'Com_select', 'Threads_connected', 'Threads_running']) AS Variable_name, unnest(['2', '10', '5', '2']) AS Value", "SHOW STATUS")
 script("show_engines", None, "SHOW ENGINES")
-script("show_charset", None, "SHOW CHARACTER SET WHERE Maxlen > 1")
+script("show_charset", """SELECT * FROM (VALUES ('utf8', 'UTF-8 Unicode', 'utf8_general_ci', 3), ('utf8mb4', 'UTF-8 Unicode', 'utf8mb4_0900_ai_ci', 4)) AS v(Charset, Description, "Default collation", Maxlen)""", "SHOW CHARACTER SET WHERE Maxlen > 1")
 script("show_collation", None, "SHOW COLLATION LIKE 'utf8mb4%'")
 script("sysvar_select", "SELECT 'ON' AS a, 'SERIALIZABLE' AS i, 151 AS m", "SET SESSION TRANSACTION ISOLATION LEVEL SERIALIZABLE", "SELECT @@autocommit AS a, @@session.tx_isolation AS i, @@global.max_connections AS m")
 script("info_schema_tables", "SELECT unnest(['region', 't']) AS TABLE_NAME, 'BASE TABLE' AS TABLE_TYPE", "SELECT TABLE_NAME, TABLE_TYPE FROM information_schema.TABLES WHERE TABLE_SCHEMA = 'default'")
@@ -309,6 +318,9 @@ sql("sql_logical_ops", "SELECT COUNT(*) AS n FROM orders WHERE o_totalprice > 10
 sql("sql_params", "SELECT COUNT(*) AS n FROM orders WHERE o_custkey > ? AND o_orderstatus IN (?, 'P')", "SELECT COUNT(*) AS n FROM orders WHERE o_custkey > 100 AND o_orderstatus IN ('F', 'P')", [100, "F"])
 sql("sql_hints_locks", "SELECT SQL_NO_CACHE o_orderkey FROM orders o USE INDEX (PRIMARY) WHERE o.o_orderkey < 50 /* note */ FOR UPDATE", "SELECT o_orderkey FROM orders WHERE o_orderkey < 50")
 sql("sql_loose_group", "SELECT o_custkey, o_custkey + 0 AS k, COUNT(*) AS n FROM orders GROUP BY o_custkey")
+sql("sql_binary", "SELECT COUNT(*) AS n FROM orders WHERE BINARY o_orderstatus = 'F'", "SELECT COUNT(*) AS n FROM orders WHERE o_orderstatus = 'F'")
+sql("sql_collate", "SELECT COUNT(*) AS n FROM orders WHERE o_orderstatus COLLATE utf8mb4_general_ci = 'f'", "SELECT COUNT(*) AS n FROM orders WHERE lower(o_orderstatus) = 'f'")
+sql("sql_convert_using", "SELECT CONVERT(r_name USING utf8mb4) AS name FROM region", "SELECT r_name AS name FROM region")
 sql("sql_match", "SELECT COUNT(*) AS n FROM part WHERE MATCH(p_name) AGAINST ('part 1') > 0", None)
 
 # statistics

@@ -104,6 +104,17 @@ def test_transactions(staff):
         s.sql("ROLLBACK TO nowhere")
 
 
+def test_definitions_do_not_leak(staff):
+    s = staff
+    s.sql("CREATE TABLE other LIKE employees")
+    s.sql("ALTER TABLE other ADD COLUMN c INT, RENAME COLUMN name TO called")
+    assert "c" not in s.sql("SELECT * FROM employees").columns and rows(s, "DESC employees")[1][0] == "name"
+    s.sql("BEGIN")
+    s.sql("ALTER TABLE employees DROP COLUMN age, ADD INDEX i (name)")
+    s.sql("ROLLBACK")
+    assert "age" in [r[0] for r in rows(s, "DESC employees")] and {r[2] for r in rows(s, "SHOW INDEX FROM employees")} == {"PRIMARY"}
+
+
 def test_definitions_and_show(staff):
     s = staff
     assert [r[:4] for r in rows(s, "DESC employees")][:2] == [("id", "int", "NO", "PRI"), ("name", "varchar(100)", "NO", "")]
