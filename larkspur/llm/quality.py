@@ -161,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rate = F.when(F.col("__y") == 1, sample / max(1, counts.get(1, 0))).otherwise(sample / max(1, counts.get(0, 0)))
     lot = F.shiftrightunsigned(F.xxhash64(F.lit("quality"), "__id"), 11) / float(1 << 53)
     some = known.where(lot < rate)
-    rows = docs.select(F.col(id_col).alias("__id2"), F.col(text_col).alias("__text")).join(small_side(some, min(sum(counts.values()), 3 * sample)), F.col("__id2") == F.col("__id"))
+    rows = docs.select(F.col(id_col).alias("__id2"), F.col(text_col).alias("__text")).join(small_side(some, some.count()), F.col("__id2") == F.col("__id"))
     rows = rows.select("__id", "__y", F.encode(F.coalesce("__text", F.lit("")), "utf-8").alias("__text"))
     got = sorted(((r["__id"], bytes(r["__text"]), r["__y"]) for r in rows.toLocalIterator()), key=lambda r: r[:2])
     return Model([t for _, t, _ in got], np.array([y for _, _, y in got]))
