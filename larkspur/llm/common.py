@@ -9,8 +9,9 @@ import re
 import tempfile
 import uuid
 import weakref
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a narrow side (a few fixed-width columns, at most 64 bytes a row) may be broadcast.
@@ -101,6 +102,11 @@ def maybe_marked(x: DataFrame, column: str, marks: DataFrame, mark: str) -> Data
     return x.where(F.get(bits, F.expr(word.format(column))).bitwiseAND(F.expr(bit.format(column))) != 0)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df hinted for broadcast if its counted rows stay within the limit; unhinted (a shuffled join) beyond it."""
     return F.broadcast(df) if rows <= limit else df

@@ -9,10 +9,12 @@ Training. samples() labels strings: random ones are encodings of SHA-2 digests;
 (picked by a hash of the id) that no pattern matches, and joined words as programs have them. Any table of (text, label) will do.
 
 Scale. Only DataFrame expressions; no shuffle but that of the model's counts, which the alphabet bounds. Patterns mark their
-matches with a control character, so a text is split once for each kind and offsets follow from lengths.
+matches with a control character, so a text is split once for each kind and offsets follow from lengths; the work grows almost
+linearly with a text's length and matches.
 
-Edge cases. Null and empty texts have no findings. Offsets count code points, end exclusive. Repeated rows each get a row. Texts
-with a U+0001 are scanned as if it were U+0002, which no pattern matches either.
+Edge cases. Null and empty texts have no findings, empty tables no rows. Offsets count code points, end exclusive. Texts of any
+length are scanned whole. Repeated rows each get a row; a score equal to the threshold is no finding. Columns named like a kind are
+replaced, others carried as they are, whatever their names. Texts with a U+0001 are scanned as if it were U+0002, which no pattern matches either.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import read_table
+from larkspur.llm.common import let, read_table
 
 #: Kinds and their patterns, as listed.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -38,20 +40,39 @@ RUN = r"[A-Za-z0-9+/_=-]{16,}"
 WORDS = "get set user name value index count list map node key data file path time date size type id new old max min last first next page item total order price test main init load save read write open close start stop run view model table column row cell text line word char byte string number error message status result config default client server request response handler manager factory builder service session context buffer stream cache queue stack event action state token".split()
 
 MARK = "\u0001"
+#: Parts of a text whose lengths are summed at a time.
+PIECE = 512
+
+
+def _ends(lengths: Column) -> Column:
+    """Running sums of an array, piece by piece, as appending to one long array would take the square of its length."""
+
+    def running(values: Column, start: Column) -> Column:
+        first = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda a, v: F.struct((a["at"] + v).cast("int").alias("at"), F.concat(a["out"], F.array((a["at"] + v).cast("int"))).alias("out"))
+        return F.aggregate(values, first, step)["out"]
+
+    def whole(v: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(v) - 1), F.lit(PIECE)), lambda i: F.slice(v, i + 1, F.lit(PIECE)))
+        sums = lambda c: running(F.transform(c, lambda x: F.aggregate(x, F.lit(0), lambda a, y: (a + y).cast("int"))), F.lit(0))
+        return let(cut, lambda c: let(sums(c), lambda t: F.flatten(F.transform(c, lambda x, i: running(x, F.when(i > 0, F.get(t, i - 1)).otherwise(F.lit(0)))))))
+
+    return let(lengths, whole)
 
 
 def _matches(text: Column, pattern: str) -> Column:
     """array<struct<start,end,hit>> of a pattern's leftmost non-overlapping matches, in code points."""
     parts = F.split(F.regexp_replace(text, pattern, MARK + "$0" + MARK), MARK, -1)
-    empty = F.array().cast("array<struct<start:int,end:int,hit:string>>")
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), empty.alias("out"))
+    both = let(parts, lambda p: F.struct(p.alias("parts"), _ends(F.transform(p, F.length)).alias("ends")))
+    hit = lambda v, i: F.struct(F.get(v["ends"], i - 1).alias("start"), F.get(v["ends"], i).alias("end"), F.get(v["parts"], i).alias("hit"))
+    found = let(both, lambda v: F.transform(F.sequence(F.lit(1), F.size(v["parts"]) - 2, F.lit(2)), lambda i: hit(v, i)))
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<start:int,end:int,hit:string>>"))
 
-    def step(a: Column, part: Column) -> Column:
-        end = (a["at"] + F.length(part)).cast("int")
-        hit = F.array(F.struct(a["at"].alias("start"), end.alias("end"), part.alias("hit")))
-        return F.struct(end.alias("at"), (~a["odd"]).alias("odd"), F.when(a["odd"], F.concat(a["out"], hit)).otherwise(a["out"]).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(parts, start, step)["out"]).otherwise(empty)
+def _touched(m: Column, base: Column, steps: Column) -> Column:
+    """Whether one of the base spans, which ascend without overlap, overlaps m: the last that starts before m ends, found by halving steps."""
+    before = F.aggregate(steps, F.lit(0), lambda k, s: F.when((k + s <= F.size(base)) & (F.get(base, k + s - 1)["start"] < m["end"]), k + s).otherwise(k))
+    return let(before, lambda k: F.when(k > 0, F.get(base, k - 1)["end"] > m["start"]).otherwise(False))
 
 
 def _spans(found: Column, kind: str) -> Column:
@@ -109,14 +130,16 @@ def scan(docs: DataFrame, table: list[float], text_col: str = "text", threshold:
     """docs with assign, access, hex and random: arrays of struct<start,kind,end>; columns of these names are replaced."""
     ratios = F.split(F.lit(",".join(f"{x:.4f}" for x in table)), ",").cast("array<double>")
     text = F.translate(F.coalesce(F.col(text_col), F.lit("")), MARK, "\u0002")
-    x = docs.select([c for c in docs.columns if c not in (*KINDS, "__text")]).withColumn("__text", text)
-    t = F.col("__text")
+    keep = [c for c in docs.columns if c not in KINDS]
+    x, t = docs.select(F.struct(*keep).alias("doc"), text.alias("t")), F.col("t")
     assign = F.filter(_matches(t, ASSIGN), lambda m: F.length(F.regexp_extract(m["hit"], ASSIGN, 2)) >= 6)
-    x = x.select("*", _spans(assign, "assign").alias("assign"), _spans(_matches(t, ACCESS_LONG), "access").alias("access"), _spans(_matches(t, HEX_LONG), "hex").alias("hex"), _matches(t, RUN).alias("__runs"))
-    base = F.concat("assign", "access", "hex")
-    looks = F.filter("__runs", lambda m: m["hit"].rlike("[0-9]|.[A-Z]") & ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    random = F.filter(looks, lambda m: _ratio(m["hit"], ratios) > threshold)
-    return x.withColumn("random", _spans(random, "random")).drop("__text", "__runs")
+    x = x.select("doc", _spans(assign, "assign").alias("assign"), _spans(_matches(t, ACCESS_LONG), "access").alias("access"), _spans(_matches(t, HEX_LONG), "hex").alias("hex"), _matches(t, RUN).alias("runs"))
+    odd = F.filter("runs", lambda m: m["hit"].rlike("[0-9]|.[A-Z]"))
+    for kind in KINDS[:3]:
+        steps = F.filter(F.array(*[F.lit(1 << k) for k in range(26, -1, -1)]), lambda s: s <= F.size(kind))
+        odd = let(F.struct(F.col(kind).alias("base"), steps.alias("steps"), odd.alias("odd")), lambda v: F.filter(v["odd"], lambda m: ~_touched(m, v["base"], v["steps"])))
+    random = F.filter(odd, lambda m: _ratio(m["hit"], ratios) > threshold)
+    return x.select("doc.*", *KINDS[:3], _spans(random, "random").alias("random"))
 
 
 def op7_markov_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
