@@ -9,11 +9,13 @@ probabilities and not arbitrary cuts.
 Fit. Labelled rows whose crc32(id as text) mod 5 is not `HELD_OUT`; at most `SAMPLE` of each class, by a hash of the id at a rate
 from the class counts. Labels, lang, source and id are not features.
 
-Scale. One pass in Arrow batches with a model of fixed size, no shuffle of texts but for the join of the sampled labels.
+Scale. One pass in Arrow batches with a model of fixed size, no shuffle of texts but for the join of the sampled labels. What the
+driver gets to fit on are feature indices, at most `SIZE` for a sampled row.
 
 Edge cases. Null and empty texts hold no feature and get the model's bias as score. Labels other than 0 and 1 and null labels are
 ignored; an id with several labels counts with each. With a single class or none learned, all scores are that class (or 0.5).
-Repeated rows each get a row. A null id is not held out and never labelled.
+Repeated rows each get a row, so rows that tie in text get the same score; empty tables give empty results, and a model of an empty
+table scores 0.5. Texts of any length are read whole. A column score is replaced, others may have any name. A null id is not held out and never labelled.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import read_table, small_side
+from larkspur.llm.common import in_batches, read_table, small_side
 from larkspur.llm.decontaminate import word_hashes
 from larkspur.llm.textbuf import pieces
 
@@ -129,8 +131,8 @@ def _logistic(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 class Model:
     """Weight and squared scale of each feature, bias, and the logistic curve of margins."""
 
-    def __init__(self, texts: list[bytes], labels: np.ndarray) -> None:
-        rows = [f for t in texts for f in features(np.frombuffer(t, np.uint8), np.array([0, len(t)]))]
+    def __init__(self, rows: list[np.ndarray], labels: np.ndarray) -> None:
+        """Learns from the feature indices and label of each row."""
         y = np.where(labels == 1, 1.0, -1.0)
         self.u, self.q, self.b, self.curve = np.zeros(SIZE), np.zeros(SIZE), 0.0, (1.0, 0.0)
         if not len(y) or abs(y.sum()) == len(y):
@@ -162,9 +164,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     lot = F.shiftrightunsigned(F.xxhash64(F.lit("quality"), "__id"), 11) / float(1 << 53)
     some = known.where(lot < rate)
     rows = docs.select(F.col(id_col).alias("__id2"), F.col(text_col).alias("__text")).join(small_side(some, some.count()), F.col("__id2") == F.col("__id"))
-    rows = rows.select("__id", "__y", F.encode(F.coalesce("__text", F.lit("")), "utf-8").alias("__text"))
-    got = sorted(((r["__id"], bytes(r["__text"]), r["__y"]) for r in rows.toLocalIterator()), key=lambda r: r[:2])
-    return Model([t for _, t, _ in got], np.array([y for _, _, y in got]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = pa.array([x.tobytes() for _, data, offsets in pieces(b.column(2)) for x in features(data, offsets)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), found], names=["th", "y", "found"])
+
+    # the driver gets indices, at most SIZE for each of the sampled rows, and never texts
+    drawn = in_batches(rows.select(F.xxhash64("__id", "__text").alias("th"), F.col("__y").cast("int").alias("y"), F.coalesce("__text", F.lit("")).alias("text")))
+    got = sorted((r["th"], bytes(r["found"]), r["y"]) for r in drawn.mapInArrow(run, "th long, y int, found binary").toLocalIterator())
+    return Model([np.frombuffer(x, np.int32) for _, x, _ in got], np.array([y for _, _, y in got]))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
