@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import durable, in_batches, read_table, small_side
+from larkspur.llm.common import discard, durable, in_batches, read_table, small_side
 from larkspur.llm.textbuf import pieces
 
 WINDOW, GRAM = 13, 5
@@ -149,10 +149,20 @@ def _scan(df: DataFrame, cols: str, lengths: list[int], known: dict[int, np.ndar
     return in_batches(df).mapInArrow(run, f"{cols}, n_words long, hits {HITS}")
 
 
-def _item_prints(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _item_prints(benchmark: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(prints, holders): each kept hash with its context (len, hash, ctx) once, numbered by `print`, and the items that hold it (print, item).
+
+    Items that share a passage, such as a prompt, share its prints, so a document that has it meets them once and not once an item.
+    """
     items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text"))
     rows = _scan(items, "item string", list(range(1, WINDOW + 1)), None, True)
-    return durable(rows.select("item", F.explode("hits").alias("y")).select("item", "y.len", "y.hash", "y.ctx").distinct())
+    rows = durable(rows.select("item", F.explode("hits").alias("y")).select("item", "y.len", "y.hash", "y.ctx").distinct())
+    prints = durable(rows.select("len", "hash", "ctx").distinct().withColumn("print", F.monotonically_increasing_id()))
+    x, y = rows.alias("x"), prints.alias("y")
+    same = (F.col("x.hash") == F.col("y.hash")) & (F.col("x.len") == F.col("y.len")) & (F.col("x.ctx") == F.col("y.ctx"))
+    holders = durable(x.join(y, same).select("print", "item"))
+    discard(rows)
+    return prints, holders
 
 
 def _bit_maps(prints: DataFrame) -> dict[int, np.ndarray]:
@@ -171,7 +181,7 @@ def contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
     """One row per row of docs: id, th (hash of the text), n_words, n_hit, items (sorted list of item ids as strings), longest (words of the longest window hit, 0 if none)."""
-    prints = _item_prints(benchmark, item_col, item_text_col)
+    prints, holders = _item_prints(benchmark, item_col, item_text_col)
     known = _bit_maps(prints)
     cols = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -179,23 +189,24 @@ def contamination(
     x = rows.where(F.size("hits") > 0).select("row", F.explode("hits").alias("x")).select("row", "x.*").alias("x")
     both = x.join(prints.alias("y"), (F.col("x.len") == F.col("y.len")) & (F.col("x.hash") == F.col("y.hash")))
     same = F.array_join(F.transform(F.arrays_zip(F.col("x.ctx").alias("p"), F.col("y.ctx").alias("q")), lambda z: F.when(z["p"] == z["q"], "1").otherwise("0")), "")
-    both = both.select("row", "item", F.col("x.len").alias("len"), "at", same.alias("same"))
+    both = both.select("row", "print", F.col("x.len").alias("len"), "at", same.alias("same"))
     back = F.length(F.regexp_extract(F.substring("same", 1, REACH), "1*$", 0))
     ahead = F.length(F.regexp_extract(F.substring("same", REACH + GRAM + 1, REACH), "^1*", 0))
     long = F.col("len") == WINDOW
     span = both.select(
-        "row", "item", F.when(long, F.col("at") - back).otherwise(F.col("at")).cast("long").alias("lo"),
+        "row", "print", F.when(long, F.col("at") - back).otherwise(F.col("at")).cast("long").alias("lo"),
         F.when(long, F.col("at") + GRAM + ahead).otherwise(F.col("at") + F.col("len")).cast("long").alias("hi"),
         (~long | (F.substring("same", REACH + 1, GRAM) == "1" * GRAM)).alias("ok"), "len",
     )
-    span = span.where("ok and hi - lo >= len")
-    hits = span.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"), F.sort_array(F.collect_set("item")).alias("items"), F.max("len").alias("longest"))
+    span = durable(span.where("ok and hi - lo >= len").select("row", "print", "lo", "hi", "len"))
+    hits = span.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"), F.max("len").alias("longest"))
+    held = span.select("row", "print").distinct().join(holders, "print").groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
     n_hit = F.aggregate(
         "spans",
         F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n")),
         lambda a, s: F.struct(F.greatest(a["end"], s["hi"]).alias("end"), (a["n"] + F.greatest(F.lit(0), s["hi"] - F.greatest(a["end"], s["lo"]))).alias("n")),
     )["n"]
-    hits = hits.select("row", n_hit.alias("n_hit"), "items", "longest")
+    hits = hits.select("row", n_hit.alias("n_hit"), "longest").join(held, "row")
     none = F.array().cast("array<string>")
     return rows.drop("hits").join(hits, "row", "left").select("id", "th", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("longest", F.lit(0)).alias("longest"))
 
