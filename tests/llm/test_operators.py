@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -117,6 +118,24 @@ def test_decontamination_matches_brute_force(spark):
     assert decontaminate.clean(documents(spark, docs), table).count() == len(docs) - len(bad)
 
 
+def test_items_that_share_a_passage(spark):
+    prompt = " ".join(f"p{i}" for i in range(30))
+    items = [(i, f"{prompt} own{i} " + " ".join(f"q{i}x{j}" for j in range(14))) for i in range(60)] + [(99, "p3")]
+    docs = [(1, f"start {prompt} end"), (2, items[7][1]), (3, "p3 p4"), (4, "nothing")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contamination(documents(spark, docs), table).collect()
+    found = sorted((r.id, r.n_words, r.n_hit, len(r["items"])) for r in got)
+    assert found == sorted(x[:4] for x in brute.contamination(docs, items))
+    nameless = spark.createDataFrame([(None, prompt)], "item_id long, text string")
+    assert [(r.n_hit, r["items"]) for r in decontaminate.contamination(documents(spark, docs[:1]), nameless).collect()] == [(30, [])]
+
+
+def test_clean_carries_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b", 1, 2, 3, 4), (2, "z", 1, 2, 3, 4)], "doc_id long, text string, id int, th int, own int, doc int")
+    items = spark.createDataFrame([("i", "a b")], "item_id string, text string")
+    assert [tuple(r) for r in decontaminate.clean(docs, items).collect()] == [(2, "z", 1, 2, 3, 4)]
+
+
 def test_words_that_collide_under_polynomials():
     swap = str.maketrans("ab", "ba")
     thue = "a"
@@ -145,7 +164,7 @@ def water(sizes):
 
 def test_mixing_meets_targets(spark):
     random.seed(9)
-    rows = [(i, "w " * random.randint(0, 30)) for i in range(900)] + [x for x in EDGES if len(x[1] or "") < 1000]
+    rows = [(i, "w " * random.randint(0, 30)) for i in range(900)] + EDGES
     docs = documents(spark, rows)
     found = mixing._with_shards(*mixing.plan(docs)).collect()
     assert len(found) == len(rows)
@@ -157,7 +176,8 @@ def test_mixing_meets_targets(spark):
         some = [r for r in found if r.source == s]
         assert all(abs(r.target - target[s]) < 1e-6 * max(1, target[s]) and r.source_size == sizes[s] for r in some)
         taken = sum(len(r.shards) * r.size for r in some)
-        assert abs(taken - target[s]) <= max(30, 0.02 * target[s]), (s, taken, target[s])
+        # only whole documents are taken, so a source may miss its target by its largest one
+        assert abs(taken - target[s]) <= max(30, 0.02 * target[s], max(r.size for r in some)), (s, taken, target[s])
     assert max(len(r.shards) for r in found) <= 2
     again = mixing._with_shards(*mixing.plan(docs.repartition(7))).collect()
     key = lambda r: (r.id is None, r.id, r.key, sorted(r.shards))
@@ -186,6 +206,7 @@ def test_language_on_held_out(spark):
     texts = {r.lang: r.text for r in found if 500 < len(r.text) < 4000}
     mixed = dict(model.mixture(texts["en"][:400] + texts["de"][:400]))
     assert {"en", "de"} <= mixed.keys()
+    assert langid.identify(documents(spark, EDGES).limit(0), model).count() == 0
     nothing = langid.fit(documents(spark, EDGES).where("false"))
     assert {r.lang_pred for r in langid.identify(documents(spark, EDGES), nothing).collect()} == {"und"}
 
@@ -198,6 +219,7 @@ def test_quality_on_held_out(spark):
     assert sum((r.score >= quality.CUT) == (r.quality == 1) for r in found) >= 0.93 * len(found)
     edge = quality.score(documents(spark, EDGES), model).collect()
     assert len(edge) == len(EDGES) and all(0 <= r.score <= 1 for r in edge)
+    assert quality.score(documents(spark, EDGES).limit(0), model).count() == 0
     none = quality.fit(docs, labels.limit(0))
     assert {r.score for r in quality.score(documents(spark, EDGES), none).collect()} == {0.5}
 
@@ -214,6 +236,23 @@ def test_secrets_match_brute_force(spark):
         assert (len(r.assign), len(r.access), len(r.hex), written) == brute.secrets(r.text)
 
 
+def test_many_secrets_in_one_text(spark):
+    """More matches than are summed at a time, of three kinds, and random runs between them."""
+    rng = random.Random(4)
+    some = ["password=abcdef12", "AKIA" + "Z9" * 10, "0123456789abcdef" * 2, "aB3xK9qLm2Zt7RwP", "plain words here", "tokén"]
+    text = " ".join(rng.choice(some) for _ in range(4000))
+    docs = documents(spark, [(1, text)]).selectExpr("*", "1 AS t", "2 AS doc", "3 AS runs", "4 AS hex")
+    (got,) = secrets.scan(docs, [1.0] * 16384).collect()
+    spans = sorted((s.start, s.kind, s.end) for k in ("assign", "access", "hex") for s in got[k])
+    written = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+    assert (len(got.assign), len(got.access), len(got["hex"]), written) == brute.secrets(text)
+    runs = [m.span() for m in re.finditer(secrets.RUN, text) if re.search("[0-9]|.[A-Z]", m[0])]
+    free = [(a, b) for a, b in runs if not any(s < b and a < e for s, _, e in spans)]
+    assert len(free) > 500 and [(s.start, s.end) for s in got.random] == free
+    assert (got.t, got.doc, got.runs) == (1, 2, 3)
+    assert secrets.scan(docs.limit(0), [1.0] * 16384).count() == 0
+
+
 def test_markov_models_tell_random_strings(spark):
     docs = spark.createDataFrame([(1, "the getUserNameByIdentifier2 and SOME_CONSTANT_NAME_2"), (2, "key is Xk29fQpL0vZr81TnYw3Bq7"), (3, "aGVsbG8gd29ybGQgdGhpcyBpcw==")], "doc_id long, text string")
     table = secrets.train(secrets.samples(docs))
@@ -243,6 +282,17 @@ def test_wrappers_of_hosts(spark):
     assert htmltext.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("tag, want", [("<div>", "x\n" * 99_999 + "x"), ("<i>", "x" * 100_000), ("<span class=ad>", ""), ("<p>", "x\n" * 99_999 + "x")])
+def test_deep_pages(tag, want):
+    assert htmltext.extract(f"<article>{(tag + 'x') * 100_000}</b></i>") == want
+
+
+def test_pages_with_clashing_columns(spark):
+    rows = [(1, "http://a.com", "<article><p>one</p></article>", 5, 6, 7, 8)] * 2
+    got = htmltext.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text int, host int, paths int, h int")).collect()
+    assert [(r.page_id, r.host, r.paths, r.h, r.text) for r in got] == [(1, 6, 7, 8, "one")] * 2
+
+
 def extracted(spark, rows):
     return {r.page_id: r.text for r in htmltext.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
 
