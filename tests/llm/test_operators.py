@@ -429,3 +429,27 @@ def test_exact_copies_of_lines_of_any_length_go(spark):
     rows = [(1, "Les.\n\nend"), (2, "les.\n\nEND \n" + "x" * 70000), (3, "x" * 70000), (4, "LES.")]
     got = {r.doc_id: r.text for r in linededup.dedup_lines(documents(spark, rows)).collect()}
     assert got == {1: "Les.\n\nend", 2: "\n" + "x" * 70000, 3: "", 4: ""}
+
+
+def test_no_pair_of_lines_is_compared_twice(spark, monkeypatch):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    rows, seen, verify = [], [], linededup.verify
+    for _ in range(10):
+        # half of the letters differ, while most words are common
+        common = [word(12), word(11), *(word(3) for _ in range(6))]
+        rows += [(len(rows) + i, " ".join([*common, word(10), word(10), word(10)])) for i in range(10)]
+    monkeypatch.setattr(linededup, "verify", lambda pairs, texts: seen.append([(r.a, r.b) for r in pairs.collect()]) or verify(pairs, texts))
+    assert sum(r.n_lines_removed for r in linededup.dedup_lines(documents(spark, rows)).collect()) == 0
+    pairs = [pair for found in seen for pair in found]
+    assert len(pairs) > 20 and len(pairs) == len(set(pairs))
+
+
+def test_odd_white_space_and_scripts_of_all_kinds(spark):
+    line = "several words that are parted by something"
+    wide = [*range(0x2000, 0x200B), 0x85, 0xA0, 0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, *b"\t\r\f\x0b\x1c\x1d\x1e\x1f"]
+    rows = [(0, line), *((i, line.replace(" ", chr(c))) for i, c in enumerate(wide, 1))]
+    assert {r.doc_id: r.text for r in linededup.dedup_lines(documents(spark, rows)).collect()} == {0: line, **dict.fromkeys(range(1, len(rows)), "")}
+    scripts = [0xE00, 0xEFF, 0x1000, 0x109F, 0x1780, 0x17FF, 0x3005, 0x3007, 0x3040, 0x30FF, 0x3400, 0x9FFF, 0xF900, 0xFAFF, 0x20000, 0x3FFFF]
+    lines = spark.createDataFrame([(i, 3 * chr(c)) for i, c in enumerate(scripts)], "id int, line string")
+    assert {r.n for r in lines.select(linededup.F.size(linededup._words("line")).alias("n")).collect()} == {3}
