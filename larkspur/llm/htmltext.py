@@ -1,20 +1,20 @@
 """Main text of web pages by wrappers: union-free regular expressions inferred from pages of the same host.
 
-Method. A page is cut into tags and texts. Of each host about `SAMPLE` pages are aligned one after another: equal neighbouring
-groups of tokens are folded into repeated groups, a run of tokens that one side lacks becomes an optional group, and texts
-that differ become text slots; texts that stay equal are the template's own. The result, a sequence of tags, slots, repeated
-and optional groups without alternatives, is the host's wrapper; pages with an article (or main) element and pages without one are
-two layouts with a wrapper each. Slots are known by their tag paths: a path is content if it lies
+Method. A page is cut into tags and texts, its blocks. A host's wrapper is union-free: the slots that its pages have, known by their tag
+paths, each once, repeated or optional as pages have it; pages with an article (or main) element and pages without one are
+two layouts with a wrapper each. All distinct pages and all their blocks count. A block is content if it lies
 in the article and in no part that tag or class names mark as menu, header, footer, sidebar, notice,
-advert, form or comments; in pages without article, paths count that are mostly not links. Paths that at most one sampled page
-has are judged page by page by the same marks. Template text is counted over all distinct pages and blocks of a host: a text
+advert, form or comments; in pages without article, if it is mostly not links. Where the blocks of a slot differ in this, the slot decides: it is content
+if one of its blocks lies in the article, or if its blocks are mostly not links on average. Slots that at most one page
+has are judged by that page alone, and marks on the page itself always count. Template text is counted over all distinct pages and blocks of a host: a text
 that `SHARE` of the pages with its path have, `ARTICLE_PAGES` of them at least inside articles and two elsewhere. A page's text
 is that of the blocks on content paths without template text. A page whose article holds nothing else keeps it, as
 near copies of one page are no evidence of a template.
 
 Output. Character references are decoded, white space inside a block becomes one space, blocks are joined by a line feed.
 
-Scale. Wrappers are inferred host by host from the sample; texts are counted as hashes, of which only a host's template texts stay; pages meet their host's wrapper by a broadcast while hosts are few
+Scale. One pass over the pages gives the blocks of each slot as counts and its texts as hashes; these are aggregated by host, layout and path, so that no host is held by
+one task. Of a wrapper only the slots whose blocks differ stay (the others are as each block says), and template texts; pages meet their host's wrapper by a broadcast while hosts are few
 (`HOSTS`) and by a shuffle otherwise (AQE splits hot hosts). A page is worked on alone, whatever its host's size.
 
 Edge cases. Null and empty html give the empty text. A null url is a host of its own, the empty one. Broken markup (tags left
@@ -29,8 +29,6 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
-from itertools import groupby
 
 import pyarrow as pa
 import xxhash
@@ -40,10 +38,10 @@ from pyspark.sql import types as T
 
 from larkspur.llm.common import durable, read_table, small_side
 
-#: Pages of each host that a wrapper is inferred from (on average), longest folded group, hosts up to which wrappers are broadcast.
-SAMPLE, FOLD, HOSTS = 12, 24, 2000
-#: Blocks of a page that alignment looks at; counts of texts and extraction read whole pages.
-TOKENS = 4000
+#: Hosts up to which wrappers are broadcast.
+HOSTS = 2000
+#: Parts of a block that its share of links is counted in.
+PARTS = 1_000_000
 #: Share of the pages with a path that have a template text, and how many there must be at least inside articles.
 SHARE, ARTICLE_PAGES = 0.8, 3
 
@@ -185,81 +183,6 @@ def neat(raw: str) -> str:
     return " ".join(html.unescape(raw).split())
 
 
-def fold(seq: list) -> list:
-    """seq with equal neighbouring groups as one repeated group ("+", ...)."""
-    changed = True
-    while changed:
-        changed, out, i = False, [], 0
-        while i < len(seq):
-            for n in range(1, min(FOLD, (len(seq) - i) // 2) + 1):
-                if seq[i] == seq[i + n] and seq[i : i + n] == seq[i + n : i + 2 * n]:
-                    body, j = seq[i : i + n], i + 2 * n
-                    while seq[j : j + n] == body:
-                        j += n
-                    out.append(body[0] if n == 1 and body[0][0] == "+" else ("+", *body))
-                    i, changed = j, True
-                    break
-            else:
-                out.append(seq[i])
-                i += 1
-        seq = out
-    return seq
-
-
-def _page_shape(page: str) -> list:
-    """The blocks of a page as (path, text) leaves, folded by path."""
-    return [("slot", path, neat(raw), skip, inside, min(1.0, links / max(1, len(raw)))) for path, raw, skip, inside, links in blocks(page)][:TOKENS]
-
-
-def align(wrapper: list, page: list) -> list:
-    """wrapper merged with one more page: unmatched runs become optional groups, texts that differ become open slots (None)."""
-    key = lambda x: x[1] if x[0] == "slot" else json.dumps(x, default=str)
-    a, b = [key(x) for x in wrapper], [key(x) for x in page]
-    out = []
-    for op, i, j, k, m in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        if op == "equal":
-            out += [x if x[0] != "slot" or x[2] == y[2] else (*x[:2], None, *x[3:]) for x, y in zip(wrapper[i:j], page[k:m])]
-        else:
-            out += [x if x[0] == "?" else ("?", x) for x in wrapper[i:j]] + [("?", x) for x in page[k:m]]
-    return out
-
-
-def infer(pages: list[str]) -> list:
-    """Wrapper of some pages of a host."""
-    wrapper: list | None = None
-    for page in pages:
-        # runs of blocks on one path are one repeated slot: its text is open, its marks are those of the path
-        shape = []
-        for _, run in groupby(_page_shape(page), key=lambda x: x[1]):
-            run = list(run)
-            shape.append(run[0] if len(run) == 1 else (*run[0][:2], None, *run[0][3:5], sum(x[5] for x in run) / len(run)))
-        shape = fold(shape)
-        wrapper = shape if wrapper is None else align(wrapper, shape)
-    return wrapper or []
-
-
-def _slots(wrapper: list) -> Iterator[tuple]:
-    for x in wrapper:
-        if x[0] == "slot":
-            yield x
-        else:
-            yield from _slots(list(x[1:]))
-
-
-def content_paths(wrapper: list, pages: dict[str, int]) -> dict[str, bool]:
-    """Whether each path of a wrapper that two or more of its pages have holds content."""
-    by_path: dict[str, list[tuple]] = {}
-    for slot in _slots(wrapper):
-        by_path.setdefault(slot[1], []).append(slot)
-    has_main = any(s[4] for slots in by_path.values() for s in slots)
-    out = {}
-    for path, slots in by_path.items():
-        if pages.get(path, 0) > 1:
-            skip, inside = all(s[3] for s in slots), any(s[4] for s in slots)
-            out[path] = not skip and (inside if has_main else sum(s[5] for s in slots) / len(slots) < 0.5)
-    return out
-
-
 def _has_main(found: list[tuple[str, str, bool, bool, int]]) -> bool:
     return any(inside and not skip for _, _, skip, inside, _ in found)
 
@@ -269,13 +192,9 @@ def _hash(*parts: object) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _learn(pages: list[str]) -> dict[str, dict[str, bool]]:
-    """The content paths of each layout of some pages of a host."""
-    by_layout: dict[bool, list[tuple[str, set[str]]]] = {}
-    for page in pages:
-        found = list(blocks(page))
-        by_layout.setdefault(_has_main(found), []).append((page, {x[0] for x in found}))
-    return {str(int(k)): content_paths(infer([p for p, _ in v]), Counter(x for _, paths in v for x in paths)) for k, v in by_layout.items()}
+def _rule(main: bool, raw: str, inside: bool, links: int) -> bool:
+    """Whether a block without marks is content by itself."""
+    return inside if main else links < 0.5 * len(raw)
 
 
 def extract(page: str | None, paths: dict[str, dict[str, bool]] | None = None, template: frozenset[int] = frozenset()) -> str:
@@ -285,7 +204,7 @@ def extract(page: str | None, paths: dict[str, dict[str, bool]] | None = None, t
     known = (paths or {}).get(str(int(has_main)), {})
     kept, plain = [], []
     for path, raw, skip, inside, links in found:
-        rule = inside if has_main else links < 0.5 * len(raw)
+        rule = _rule(has_main, raw, inside, links)
         # marks on the page itself always count
         if not skip and known.get(path, rule) and (t := neat(raw)):
             (plain if template and _hash(int(has_main), path, t) in template else kept).append(t)
@@ -297,41 +216,55 @@ def host_of(url: str) -> Column:
     return F.regexp_replace(host, r"^(?:www|m|mobile|amp)\.", "")
 
 
-def template_texts(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """(host, texts): hashes of each host's template texts with layout and path, counted over all its distinct pages."""
+SLOTS = pa.schema([("host", pa.string()), ("lot", pa.int64()), ("main", pa.int32()), ("path", pa.int64()), ("text", pa.int64()), ("blocks", pa.int64()), ("links", pa.int64()), ("every", pa.bool_()), ("some", pa.bool_())])
+
+
+def _page_slots(page: str) -> Iterator[tuple]:
+    """(main, path, text, blocks, links, every, some) of a page: a row for each path, then one for each text on it with its hash."""
+    found = list(blocks(page))
+    main = _has_main(found)
+    by_path: dict[str, list[tuple[str, int, bool]]] = {}
+    for path, raw, skip, inside, links in found:
+        if not skip:
+            by_path.setdefault(path, []).append((neat(raw), PARTS * min(links, len(raw)) // max(1, len(raw)), _rule(main, raw, inside, links)))
+    for path, here in by_path.items():
+        known = int(path, 16) - (int(path, 16) >> 63 << 64)
+        yield int(main), known, None, len(here), sum(x[1] for x in here), all(x[2] for x in here), any(x[2] for x in here)
+        for text in {x[0] for x in here}:
+            yield int(main), known, _hash(int(main), path, text), None, None, None, None
+
+
+def slots(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
+    """The slots of all distinct pages of each host, as `SLOTS` names them: rows of paths (text is null) and of texts."""
     x = pages.select(host_of(url).alias("h"), F.xxhash64(page).alias("lot"), F.coalesce(page, F.lit("")).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for h, lot, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                found = list(blocks(p.as_py()))
-                main = int(_has_main(found))
-                rows += [(h, lot, _hash(main, path), _hash(main, path, t), main) for path, t in {(path, neat(raw)) for path, raw, skip, _, _ in found if not skip}]
-            cols = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32()))], names=["host", "lot", "path", "text", "main"])
+            rows = [(h, lot, *row) for h, lot, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)) for row in _page_slots(p.as_py())]
+            cols = list(zip(*rows)) or [()] * len(SLOTS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, SLOTS)], schema=SLOTS)
 
-    x = durable(x.mapInArrow(run, "host string, lot long, path long, text long, main int").distinct())
-    same = x.groupBy("host", "path", "text", "main").agg(F.count("*").alias("same")).where(F.col("same") >= F.when(F.col("main") == 1, ARTICLE_PAGES).otherwise(2))
-    seen = x.select("host", "path", "lot").distinct().groupBy("host", "path").agg(F.count("*").alias("n"))
-    return same.join(seen, ["host", "path"]).where(F.col("same") >= SHARE * F.col("n")).groupBy("host").agg(F.sort_array(F.collect_list("text")).alias("texts"))
+    return x.mapInArrow(run, "host string, lot long, main int, path long, text long, blocks long, links long, every boolean, some boolean").distinct()
 
 
 def wrappers(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """(host, paths): JSON of the content paths of each host's wrappers and of its template texts."""
-    # a cheap guess at the layout, so that the rarer one is drawn as well
-    guess = F.coalesce(page, F.lit("")).rlike(r"(?i)<(?:article|main)[\s>]|role\s*=\s*[\"']?main")
-    seen = durable(pages.groupBy(host_of(url).alias("h"), guess.alias("main")).agg(F.count("*").alias("n")))
-    x = pages.select(host_of(url).alias("h"), guess.alias("main"), F.xxhash64(url, page).alias("lot"), F.coalesce(page, F.lit("")).alias("html"))
-    # pages meet their host's count before they are shuffled, so that only the chosen ones are; copies of a page are one
-    chosen = x.join(small_side(seen, seen.count()), ["h", "main"]).where(F.shiftrightunsigned("lot", 11) / float(1 << 53) * F.col("n") < SAMPLE).select("h", "lot", "html").dropDuplicates(["h", "lot"])
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = {h: lot for lot, h in sorted(zip(table.column("lot").to_pylist(), table.column("html").to_pylist()), reverse=True)}
-        return pa.table({"host": [table.column("h")[0].as_py()], "paths": [json.dumps(_learn(sorted(rows, key=lambda h: (rows[h], h))), sort_keys=True)]})
-
-    found = chosen.groupBy("h").applyInArrow(run, "host string, paths string")
-    return found.join(template_texts(pages, url, page), "host", "full").select("host", F.to_json(F.struct("paths", "texts")).alias("paths"))
+    """(host, paths): JSON of what each host's wrappers say about slots whose blocks differ, and of the hashes of its template texts."""
+    x = durable(slots(pages, url, page))
+    by = ["host", "main", "path"]
+    seen = x.where("text is null").groupBy(by).agg(F.count("*").alias("n"), F.sum("blocks").alias("blocks"), F.sum("links").alias("links"), F.every("every").alias("every"), F.some("some").alias("some"))
+    content = (F.col("main") == 1) | (2 * F.col("links") < PARTS * F.col("blocks"))
+    paths = seen.where("n > 1 and some and not every").groupBy("host").agg(F.sort_array(F.collect_list(F.struct("main", "path", content.alias("content")))).alias("paths"))
+    same = x.where("text is not null").groupBy(*by, "text").agg(F.count("*").alias("same")).where(F.col("same") >= F.when(F.col("main") == 1, ARTICLE_PAGES).otherwise(2))
+    texts = same.join(seen.select(*by, "n"), by).where(F.col("same") >= SHARE * F.col("n")).groupBy("host").agg(F.sort_array(F.collect_list("text")).alias("texts"))
+    return paths.join(texts, "host", "full").select("host", F.to_json(F.struct("paths", "texts")).alias("paths"))
+
+
+def _known(paths: list[dict]) -> dict[str, dict[str, bool]]:
+    """What wrappers say about paths, by layout and path."""
+    out: dict[str, dict[str, bool]] = {}
+    for x in paths:
+        out.setdefault(str(x["main"]), {})[f"{x['path'] % (1 << 64):016x}"] = x["content"]
+    return out
 
 
 def extract_pages(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
@@ -350,7 +283,7 @@ def extract_pages(pages: DataFrame, url: str = "url", page: str = "html") -> Dat
                     if len(cache) > 200:
                         cache = {None: ({}, frozenset())}
                     host = json.loads(p)
-                    cache[p] = (json.loads(host.get("paths", "{}")), frozenset(host.get("texts", [])))
+                    cache[p] = (_known(host.get("paths", [])), frozenset(host.get("texts", [])))
                 texts.append(extract(h.as_py(), *cache[p]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["row", "text"])
 

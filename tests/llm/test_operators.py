@@ -309,6 +309,19 @@ def test_layouts_and_single_pages_keep_their_text(spark):
     assert extracted(spark, rows) == want
 
 
+def test_wrappers_count_all_pages_and_blocks(spark):
+    linked = lambda n: f"<div class=rare><a>{n} a link</a> {n}</div>"
+    plain = lambda n: f"<div class=rare>{n} words without any link, and many more of them</div>"
+    page = lambda n, end="": f"<div class=x><p>{n} words</p></div>{end}"
+    rows = [(i, f"http://a.com/{i}", page(i)) for i in range(400)] + [(400, "http://a.com/400", page(400, linked(400)))] + [(i, f"http://a.com/{i}", page(i, plain(i))) for i in range(401, 404)]
+    got = extracted(spark, rows)
+    assert got[400] == "400 words\n400 a link 400" and got[402] == "402 words\n402 words without any link, and many more of them" and got[7] == "7 words"
+    # a slot behind many blocks counts like any other
+    many = lambda n, end: "".join(f"<p>{n} {i}</p><h2>{n} {i}</h2>" for i in range(2100)) + end
+    got = extracted(spark, [(0, "http://b.com/0", many(0, linked(0))), *((i, f"http://b.com/{i}", many(i, plain(i))) for i in range(1, 4))])
+    assert got[0].endswith("0 a link 0") and got[0].count("\n") == 4200
+
+
 def test_licenses_and_inheritance(spark):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"
     rows = [(1, "a/LICENSE", mit), (2, "a/b/c/x.py", "x = 1"), (3, "z/y.py", "x = 1"), (4, None, None), (5, "a/b/d.c", "code " * 20 + "\nLicensed under the Apache License, Version 2.0.\nint main"), (6, "a/b/LICENSE", "All rights reserved."), (7, "a/e.py", ""), (7, "a/e.py", "")]
