@@ -466,3 +466,18 @@ def test_odd_white_space_and_scripts_of_all_kinds(spark):
     scripts = [0xE00, 0xEFF, 0x1000, 0x109F, 0x1780, 0x17FF, 0x3005, 0x3007, 0x3040, 0x30FF, 0x3400, 0x9FFF, 0xF900, 0xFAFF, 0x20000, 0x3FFFF]
     lines = spark.createDataFrame([(i, 3 * chr(c)) for i, c in enumerate(scripts)], "id int, line string")
     assert {r.n for r in lines.select(linededup.F.size(linededup._words("line")).alias("n")).collect()} == {3}
+
+
+def test_only_keys_and_lines_are_shuffled_and_no_hash_is_kept_while_texts_are_compared(spark, monkeypatch):
+    from larkspur.llm import common
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8))
+    rows = [(i, " ".join(word() for _ in range(9))) for i in range(60)]
+    rows += [(100 + i, rows[i][1] + " more") for i in range(5)]
+    written, kept, write, verify = [], [], linededup.durable, linededup.verify
+    monkeypatch.setattr(linededup, "durable", lambda df: written.append(write(df)) or written[-1])
+    monkeypatch.setattr(linededup, "verify", lambda pairs, texts: kept.append([t.columns for t in written if t in common._PATHS]) or verify(pairs, texts))
+    assert sum(r.n_lines_removed for r in linededup.dedup_lines(documents(spark, rows)).collect()) == 5
+    assert ["key", "lid"] in [t.columns for t in written]
+    assert kept and not any("fp" in columns for tables in kept for columns in tables)
