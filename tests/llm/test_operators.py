@@ -481,3 +481,25 @@ def test_only_keys_and_lines_are_shuffled_and_no_hash_is_kept_while_texts_are_co
     assert sum(r.n_lines_removed for r in linededup.dedup_lines(documents(spark, rows)).collect()) == 5
     assert ["key", "lid"] in [t.columns for t in written]
     assert kept and not any("fp" in columns for tables in kept for columns in tables)
+
+
+def test_lines_of_a_key_meet_by_classes_of_length(spark):
+    from pyspark.sql import functions as F
+
+    sizes = [round(20 * 1.06**i) for i in range(120)] + [5, 4, 10, 8, 100, 80, 125, 1000, 800, 100000, 80000]
+    posted = spark.createDataFrame([(7, lid, (0, lid, n)) for lid, n in enumerate(sizes)], "key long, lid long, x struct<fp: long, lid: long, chars: int>")
+    met = [tuple(sorted(r)) for r in linededup.meetings(posted).select("p.lid", "q.lid").collect()]
+    close = {(a, b) for a in range(len(sizes)) for b in range(a + 1, len(sizes)) if abs(sizes[a] - sizes[b]) <= int(max(sizes[a], sizes[b]) * 0.2 + 1e-9)}
+    assert len(met) == len(set(met)) and close <= set(met) and len(met) < len(sizes) ** 2 / 10
+    # what is joined with itself are postings, without texts or words
+    kept, write = [], linededup.durable
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    common = [word(12), word(11), *(word(3) for _ in range(6))]
+    rows = [(i, " ".join([*common, word(10), word(10), word(10)])) for i in range(10)]
+    linededup.durable = lambda df: kept.append(write(df)) or kept[-1]
+    try:
+        linededup.dedup_lines(documents(spark, rows)).select(F.count("*")).collect()
+    finally:
+        linededup.durable = write
+    assert not any({"key", "words"} <= set(table.columns) for table in kept)
