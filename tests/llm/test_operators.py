@@ -503,3 +503,46 @@ def test_lines_of_a_key_meet_by_classes_of_length(spark):
     finally:
         linededup.durable = write
     assert not any({"key", "words"} <= set(table.columns) for table in kept)
+
+
+def test_lines_that_share_a_passage_are_joined_by_their_words_and_no_close_pair_is_lost(spark, monkeypatch):
+    from itertools import combinations
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(12)
+    word = lambda low, high: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(low, high)))
+    passage = " ".join(word(7, 11) for _ in range(30))
+    texts = [" ".join([*(word(2, 6) for _ in range(rng.randint(3, 24))), passage]) for _ in range(120)]
+    docs = documents(spark, list(enumerate(texts)))
+    lines = linededup.line_table(linededup.occurrences(docs)).localCheckpoint()
+    words = {r.lid: set(texts[r.id0].split()) for r in lines.collect()}
+    need = lambda p, q: 0.7 * max(len(p), len(q)) - 1
+    shared = {(a, b) for a, b in combinations(sorted(words), 2) if len(words[a] & words[b]) >= need(words[a], words[b])}
+    joined, write = [], linededup.durable
+    monkeypatch.setattr(linededup, "durable", lambda df: joined.append(t.count()) or t if (t := write(df)).columns == ["a", "b"] else t)
+    groups = {r.node: r.root for r in linededup.fuzzy_groups(lines, linededup.posts(lines), docs, "doc_id", "text").collect()}
+    assert 20 < len(groups) < 110 and sum(joined) < len(shared) < len(texts) * (len(texts) - 1) / 4, (len(groups), joined, len(shared))
+    # whatever is in different groups is apart: all lines share their longest runs, so that all pairs have a key
+    p = lines.join(docs, F.col("id0") == F.col("doc_id")).select("lid", F.struct("fp", "chars").alias("x"), "text", F.transform(linededup._words("text"), lambda w: F.hash(w)).alias("words"))
+    met = p.toDF("a", "x", "p", "v").join(p.toDF("b", "y", "q", "w"), F.col("a") < F.col("b")).where(linededup._close(F.col("x"), F.col("y")))
+    met = met.where((F.size(F.array_intersect("v", "w")) >= 0.7 * F.greatest(F.size("v"), F.size("w")) - 1) & linededup._similar("p", "q")).select("a", "b").collect()
+    assert len(met) > 100 and all(groups.get(r.a, r.a) == groups.get(r.b, r.b) for r in met)
+
+
+def test_word_maps_tell_no_pair_apart_that_shares_enough(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(13)
+    rows = []
+    for i in range(300):
+        n, out = rng.choice((5, 6, 10, 30, 80, 500, 2000)), rng.random() * 0.6
+        words = [rng.randrange(-(2**31), 2**31) for _ in range(n)]
+        rows += [(2 * i, words), (2 * i + 1, [rng.randrange(-(2**31), 2**31) if rng.random() < out else w for w in words][: rng.randint(n // 2, n)])]
+    texts = spark.createDataFrame(rows, "lid long, words array<int>").withColumn("words", F.array_distinct("words")).localCheckpoint()
+    maps = linededup.word_maps(texts).select("lid", F.struct("n", *linededup.MAP_COLS).alias("x"))
+    x = maps.join(texts, "lid")
+    pairs = x.where("lid % 2 = 0").toDF("a", "x", "v").join(x.where("lid % 2 = 1").toDF("b", "y", "w"), F.col("b") == F.col("a") + 1)
+    got = pairs.select(linededup._shared("v", "w").alias("shared"), linededup._may_share(F.col("x"), F.col("y")).alias("may"), F.size("v").alias("n")).collect()
+    assert len(got) == 300 and all(r.may for r in got if r.shared) and sum(r.shared for r in got) > 50
+    assert sum(r.may for r in got if not r.shared and r.n <= 80) < 0.3 * sum(not r.shared for r in got if r.n <= 80)
